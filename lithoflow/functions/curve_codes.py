@@ -74,14 +74,17 @@ def title_entry(words: Column, flat: Column, refs: Column) -> Column:
 
 
 def curve_entries(curves: DataFrame, ref: DataFrame) -> DataFrame:
-    """``mnemonic, name, ref_id`` for each distinct pair of typed texts; ref_id is null where none is meant.
+    """``mnemonic, name, ref_id`` for each distinct pair of typed texts; ref_id is 0 where none is meant.
 
     The mnemonic counts before the name and a code before a title.  Null and blank texts mean nothing.
     """
     refs = reference_literal(ref)
-    pair = curves.select("mnemonic", "name").distinct()
+    # the pairs are few bytes but much work, so they are spread over all cores
+    spark = curves.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pair = curves.select("mnemonic", "name").distinct().repartition(parts, "mnemonic", "name")
     words = {"__mw": title_words(F.col("mnemonic")), "__nw": title_words(F.col("name"))}
     pair = pair.withColumns(words).withColumns({"__mf": F.array_join("__mw", ""), "__nf": F.array_join("__nw", "")})
     by_code = [code_entry(F.col(c), refs) for c in ("mnemonic", "name")]
     by_title = [title_entry(F.col(f"__{c}w"), F.col(f"__{c}f"), refs) for c in "mn"]
-    return pair.select("mnemonic", "name", F.coalesce(by_code[0], by_title[0], by_code[1], by_title[1]).alias("ref_id"))
+    return pair.select("mnemonic", "name", F.coalesce(by_code[0], by_title[0], by_code[1], by_title[1], F.lit(0)).alias("ref_id"))

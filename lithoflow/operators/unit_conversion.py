@@ -52,7 +52,7 @@ def convert(df: DataFrame, value: str, unit: Column, note: Column, common: Colum
 
 
 def with_entry(curves: DataFrame, ref: DataFrame) -> DataFrame:
-    """``curves`` with the common unit ``common_unit`` and ``ref_id`` of the canonical curve each means, else null."""
+    """``curves`` with the common unit ``common_unit`` and ``ref_id`` of the canonical curve each means; null and 0 where it means none."""
     e = curve_entries(curves, ref).withColumnsRenamed({"mnemonic": "__m", "name": "__n", "ref_id": "__r"})
     r = F.broadcast(ref.select(F.col("ref_id").alias("__id"), F.col("common_unit").alias("__cu")))
     known = curves.drop("ref_id", "common_unit")
