@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import canonical, encode, leak, lookalike, split, vectors
+from . import canonical, encode, leak, lookalike, repair, split, vectors
 
 
 def _nearest(spark, d):
@@ -14,6 +14,8 @@ def _nearest(spark, d):
 QUERIES = {
     "p1_found": lambda spark, d: canonical.found(table(spark, d, "curves"), table(spark, d, "mnemonic_ref")),
     "p1_misses": lambda spark, d: canonical.misses(table(spark, d, "curves"), table(spark, d, "mnemonic_ref")),
+    "p3_found": lambda spark, d: repair.found(table(spark, d, "text_blocks"), table(spark, d, "images")),
+    "p3_texts": lambda spark, d: repair.repair_texts(repair.scans(table(spark, d, "text_blocks"), table(spark, d, "images"))),
     "p4_found": lambda spark, d: split.found(table(spark, d, "chunks")),
     "p4_pieces": lambda spark, d: split.split_texts(table(spark, d, "chunks"), "chunk_id", "content"),
     "p6_found": lambda spark, d: vectors.found(table(spark, d, "chunks")),
@@ -28,7 +30,7 @@ QUERIES = {
 ORACLE_SQL = {
     "p6_found": """
 WITH v AS (SELECT chunk_id, CAST(embedding AS DOUBLE[384]) AS e FROM chunks
-  WHERE embedding IS NOT NULL AND len(embedding) = 384 AND list_sum(list_transform(embedding, x -> x * x)) > 0)
+  WHERE embedding IS NOT NULL AND len(embedding) = 384 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0)
 SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id
 WHERE array_cosine_similarity(a.e, b.e) >= 0.92
 """,
