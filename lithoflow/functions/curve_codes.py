@@ -82,7 +82,7 @@ def curve_entries(curves: DataFrame, ref: DataFrame) -> DataFrame:
     # the pairs are few bytes but much work, so they are spread over all cores
     spark = curves.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pair = curves.select("mnemonic", "name").distinct().repartition(parts, "mnemonic", "name")
+    pair = curves.select("mnemonic", "name").distinct().repartition(parts, F.xxhash64("mnemonic", "name"))
     words = {"__mw": title_words(F.col("mnemonic")), "__nw": title_words(F.col("name"))}
     pair = pair.withColumns(words).withColumns({"__mf": F.array_join("__mw", ""), "__nf": F.array_join("__nw", "")})
     by_code = [code_entry(F.col(c), refs) for c in ("mnemonic", "name")]

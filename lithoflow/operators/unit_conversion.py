@@ -12,12 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.curve_codes import curve_entries
-from ..functions.units import alias_table, text_unit, unit_key, unit_scale
+from ..functions.units import UNITS, alias_table, text_unit, unit_key, unit_scale
 
 DEPTH_UNIT = "m"
 
 
-def convert(df: DataFrame, value: str, unit: Column, note: Column, common: Column, default: Column | None = None) -> DataFrame:
+def _looked_up(x: DataFrame, prefix: str, text: Column | str, names: DataFrame) -> DataFrame:
+    """Adds unit, dimension, factor and offset, named with ``prefix``, of the spelling ``text`` (a column, or one spelling)."""
+    columns = ["unit", "dimension", "factor", "offset"]
+    if isinstance(text, str):
+        unit = next((u for u, (_, _, _, spellings) in UNITS.items() if u == text or text.lower() in spellings.split()), None)
+        known = (unit, *UNITS[unit][:3]) if unit else (None,) * 4
+        kinds = ["string", "string", "double", "double"]
+        return x.withColumns({f"{prefix}{c}": F.lit(v).cast(k) for c, v, k in zip(columns, known, kinds)} | {f"{prefix}scale": F.lit(1.0)})
+    x = x.withColumns({f"{prefix}key": unit_key(text), f"{prefix}scale": unit_scale(text)})
+    alias = F.broadcast(names.select(F.col("alias").alias(f"{prefix}alias"), *[F.col(c).alias(f"{prefix}{c}") for c in columns]))
+    return x.join(alias, F.col(f"{prefix}key") == F.col(f"{prefix}alias"), "left")
+
+
+def convert(df: DataFrame, value: str, unit: Column, note: Column, common: Column | str, default: Column | str | None = None) -> DataFrame:
     """Adds ``common_value`` (double), ``recorded_unit`` and ``other_unit`` (boolean) to ``df``.
 
     ``unit`` and ``note`` name the recorded unit, in this order; where neither does, ``default`` (the common
@@ -26,28 +39,23 @@ def convert(df: DataFrame, value: str, unit: Column, note: Column, common: Colum
     recorded unit is another one than ``common``; another spelling is not another unit.
     """
     names = alias_table(df.sparkSession)
-
-    def aliases(p):
-        return F.broadcast(names.select(*[F.col(c).alias(f"__{p}_{c}") for c in names.columns]))
-
-    x = df.withColumns({"__u": unit, "__t": text_unit(note), "__c": common}).withColumns({"__uk": unit_key("__u"), "__tk": unit_key("__t"), "__ck": unit_key("__c")})
-    x = x.withColumn("__default", default if default is not None else F.col("__c")).withColumn("__dk", unit_key("__default"))
-    for p in "utcd":
-        x = x.join(aliases(p), F.col(f"__{p}k") == F.col(f"__{p}_alias"), "left")
+    x = df.withColumns({"__unit": unit, "__note": text_unit(note)})
+    x = _looked_up(_looked_up(x, "__u_", F.col("__unit"), names), "__t_", F.col("__note"), names)
+    x = _looked_up(x, "__c_", common, names)
+    if default is not None:
+        x = _looked_up(x, "__d_", default, names)
+    last = "__c_" if default is None else "__d_"
 
     def pick(c):
-        return F.when(F.col("__u_unit").isNotNull(), F.col(f"__u_{c}")).when(F.col("__t_unit").isNotNull(), F.col(f"__t_{c}")).otherwise(F.col(f"__d_{c}"))
-
-    scale = F.when(F.col("__u_unit").isNotNull(), unit_scale("__u")).when(F.col("__t_unit").isNotNull(), unit_scale("__t")).otherwise(unit_scale("__default"))
-    x = x.withColumns({"__unit": pick("unit"), "__dim": pick("dimension"), "__factor": pick("factor") * scale, "__offset": pick("offset"), "__scale": scale})
-    base = F.col(value) * F.col("__factor") + F.col("__offset")
-    same = (F.col("__unit") == F.col("__c_unit")) & (F.col("__scale") == unit_scale("__c"))
-    ratio = F.col("__factor") / (F.col("__c_factor") * unit_scale("__c"))
-    x = x.withColumns({
-        "recorded_unit": F.col("__unit"),
-        "other_unit": ~same,
-        "common_value": F.when(F.col("__dim") == F.col("__c_dimension"), F.when(same, F.col(value)).when((F.col("__offset") == 0) & (F.col("__c_offset") == 0), F.col(value) * ratio).otherwise((base - F.col("__c_offset")) / F.col("__c_factor"))),
-    })
+        return F.when(F.col("__u_unit").isNotNull(), F.col(f"__u_{c}")).when(F.col("__t_unit").isNotNull(), F.col(f"__t_{c}")).otherwise(F.col(last + c))
+
+    x = x.withColumns({f"__{c}": pick(c) for c in ("unit", "dimension", "factor", "offset", "scale")})
+    factor, wanted = F.col("__factor") * F.col("__scale"), F.col("__c_factor") * F.col("__c_scale")
+    same = (F.col("__unit") == F.col("__c_unit")) & (F.col("__scale") == F.col("__c_scale"))
+    plain = (F.col("__offset") == 0) & (F.col("__c_offset") == 0)
+    shifted = (F.col(value) * factor + F.col("__offset") - F.col("__c_offset")) / wanted
+    result = F.when(same, F.col(value)).when(plain, F.col(value) * (factor / wanted)).otherwise(shifted)
+    x = x.withColumns({"common_value": F.when(F.col("__dimension") == F.col("__c_dimension"), result), "recorded_unit": F.col("__unit"), "other_unit": ~same})
     return x.select(*df.columns, "common_value", "recorded_unit", "other_unit")
 
 
@@ -65,16 +73,16 @@ def common_values(log_runs: DataFrame, curves: DataFrame, ref: DataFrame) -> Dat
 
     A curve's depths are in the unit of its run; curves without a run get the source default, metres.
     """
-    m = F.lit(DEPTH_UNIT)
+    m = DEPTH_UNIT
     runs = log_runs.select("run_id", "depth_unit", "header_note", "depth_interval")
-    step = convert(runs.select(F.lit("run_step").alias("quantity"), F.col("run_id").alias("rec_id"), F.col("depth_interval").cast("double").alias("value"), "depth_unit", "header_note", m.alias("common_unit")), "value", F.col("depth_unit"), F.col("header_note"), m)
+    step = convert(runs.select(F.lit("run_step").alias("quantity"), F.col("run_id").alias("rec_id"), F.col("depth_interval").cast("double").alias("value"), "depth_unit", "header_note", F.lit(m).alias("common_unit")), "value", F.col("depth_unit"), F.col("header_note"), m)
     depths = (
         curves.select("curve_id", "run_id", F.explode(F.array(
             F.struct(F.lit("curve_start").alias("quantity"), F.col("depth_start").cast("double").alias("value")),
             F.struct(F.lit("curve_stop").alias("quantity"), F.col("depth_stop").cast("double").alias("value")),
         )).alias("d"))
         .join(runs.select("run_id", "depth_unit", "header_note"), "run_id", "left")
-        .select("d.quantity", F.col("curve_id").alias("rec_id"), "d.value", "depth_unit", "header_note", m.alias("common_unit"))
+        .select("d.quantity", F.col("curve_id").alias("rec_id"), "d.value", "depth_unit", "header_note", F.lit(m).alias("common_unit"))
     )
     depths = convert(depths, "value", F.col("depth_unit"), F.col("header_note"), m)
     known = with_entry(curves.select("curve_id", "mnemonic", "name", "unit", "description", "check_value"), ref).filter("common_unit is not null")
@@ -103,7 +111,7 @@ def samples_in_common_units(samples: DataFrame, curves: DataFrame, log_runs: Dat
     runs = log_runs.select("run_id", "depth_unit", "header_note")
     per = with_entry(curves.select("curve_id", "run_id", "mnemonic", "name", "unit", "description"), ref).join(runs, "run_id", "left")
     per = per.withColumn("one", F.lit(1.0))
-    per = convert(per, "one", F.col("depth_unit"), F.col("header_note"), F.lit(DEPTH_UNIT)).withColumnsRenamed({"common_value": "__depth_factor"}).drop("recorded_unit", "other_unit")
+    per = convert(per, "one", F.col("depth_unit"), F.col("header_note"), DEPTH_UNIT).withColumnsRenamed({"common_value": "__depth_factor"}).drop("recorded_unit", "other_unit")
     per = convert(per, "one", F.col("unit"), F.col("description"), F.col("common_unit"))
     per = per.select("curve_id", "ref_id", "common_unit", "__depth_factor", F.col("common_value").alias("__factor"))
     kept = samples.drop("ref_id", "common_unit", "depth_m", "common_value")
