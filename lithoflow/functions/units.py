@@ -49,7 +49,8 @@ _DATUM = r"(?i)\s+(?:md|tvd|tvdss|below\s+kb|below\s+rt|rkb)\s*$"
 
 def unit_key(text):
     """Column: a unit's spelling in normal form, without its leading number; blank and '-' or '?' alone give null."""
-    t = F.lower(F.translate(text, "ΩωΩμµ³²·", "ooouu32 "))
+    # Greek letters, superscripts and the middle dot as what they stand for
+    t = F.trim(F.lower(F.translate(text, "\u03a9\u03c9\u2126\u03bc\u00b5\u00b3\u00b2\u00b7", "ooouu32 ")))
     t = F.regexp_replace(t, r"^\s*(?:\d+(?:\.\d*)?|\.\d+)\s*", "")
     t = F.regexp_replace(t, r"^\s*tenths?\s+of\s+(?:an?\s+)?", "")
     # the Greek letter stands for the word

@@ -67,7 +67,7 @@ def curve_limits(curves: DataFrame, ref: DataFrame) -> DataFrame:
     cases = [(unit, lo, hi) for unit, (lo, hi) in LIMITS.items() if unit in UNITS]
     lo = F.coalesce(*[F.when(F.col("common_unit") == u, F.lit(a)) for u, a, _ in cases])
     hi = F.coalesce(*[F.when(F.col("common_unit") == u, F.lit(b)) for u, _, b in cases])
-    return per.select("curve_id", (lo / F.col("common_value")).alias("lo"), (hi / F.col("common_value")).alias("hi")).filter("lo is not null").dropDuplicates(["curve_id"])
+    return per.select("curve_id", (lo / F.col("common_value")).alias("lo"), (hi / F.col("common_value")).alias("hi")).filter("curve_id is not null and lo is not null").groupBy("curve_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 # --- arrays over many curves at once ---------------------------------------------------------------------

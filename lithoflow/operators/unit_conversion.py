@@ -68,10 +68,17 @@ def with_entry(curves: DataFrame, ref: DataFrame) -> DataFrame:
     return j.select(*known.columns, F.col("__r").alias("ref_id"), F.col("__cu").alias("common_unit"))
 
 
+def _run_units(log_runs: DataFrame) -> DataFrame:
+    """``run_id, depth_unit, header_note``, one row a run whatever is repeated."""
+    one = log_runs.filter("run_id is not null").groupBy("run_id").agg(F.min(F.struct("depth_unit", "header_note")).alias("u"))
+    return one.select("run_id", "u.depth_unit", "u.header_note")
+
+
 def common_values(log_runs: DataFrame, curves: DataFrame, ref: DataFrame) -> DataFrame:
     """Every quantity of both tables in its common unit: ``quantity, rec_id, value, recorded_unit, common_unit, common_value, other_unit``.
 
     A curve's depths are in the unit of its run; curves without a run get the source default, metres.
+    Repeated rows come out repeated, null values with a null result; empty tables give no rows.
     """
     m = DEPTH_UNIT
     runs = log_runs.select("run_id", "depth_unit", "header_note", "depth_interval")
@@ -81,7 +88,7 @@ def common_values(log_runs: DataFrame, curves: DataFrame, ref: DataFrame) -> Dat
             F.struct(F.lit("curve_start").alias("quantity"), F.col("depth_start").cast("double").alias("value")),
             F.struct(F.lit("curve_stop").alias("quantity"), F.col("depth_stop").cast("double").alias("value")),
         )).alias("d"))
-        .join(runs.select("run_id", "depth_unit", "header_note"), "run_id", "left")
+        .join(_run_units(log_runs), "run_id", "left")
         .select("d.quantity", F.col("curve_id").alias("rec_id"), "d.value", "depth_unit", "header_note", F.lit(m).alias("common_unit"))
     )
     depths = convert(depths, "value", F.col("depth_unit"), F.col("header_note"), m)
@@ -107,9 +114,11 @@ def samples_in_common_units(samples: DataFrame, curves: DataFrame, log_runs: Dat
     """Each row of ``curve_samples`` with ``depth_m`` and ``common_value``; null where the curve has no canonical entry.
 
     Unit and scale are settled once a curve; the readings are only multiplied, after one join on ``curve_id``.
+    Readings without curve_id, or of a curve or run that is not there, keep null.
     """
-    runs = log_runs.select("run_id", "depth_unit", "header_note")
-    per = with_entry(curves.select("curve_id", "run_id", "mnemonic", "name", "unit", "description"), ref).join(runs, "run_id", "left")
+    columns = ["run_id", "mnemonic", "name", "unit", "description"]
+    one = curves.filter("curve_id is not null").groupBy("curve_id").agg(F.min(F.struct(*columns)).alias("c")).select("curve_id", "c.*")
+    per = with_entry(one, ref).join(_run_units(log_runs), "run_id", "left")
     per = per.withColumn("one", F.lit(1.0))
     per = convert(per, "one", F.col("depth_unit"), F.col("header_note"), DEPTH_UNIT).withColumnsRenamed({"common_value": "__depth_factor"}).drop("recorded_unit", "other_unit")
     per = convert(per, "one", F.col("unit"), F.col("description"), F.col("common_unit"))

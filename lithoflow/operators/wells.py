@@ -43,7 +43,7 @@ def series(samples: DataFrame) -> DataFrame:
 def curve_quality(samples: DataFrame) -> DataFrame:
     """Quality 0.8 x share of present readings + 0.2 x range / 100 (1 at most), and the share missing in percent."""
     agg = readings(samples).groupBy("curve_id").agg(F.count("*").alias("n"), F.count("value").alias("valid"), (F.max("value") - F.min("value")).alias("span"))
-    quality = 0.8 * F.col("valid") / F.col("n") + 0.2 * F.coalesce(F.least(F.col("span") / 100, F.lit(1.0)), F.lit(0.0))
+    quality = 0.8 * F.col("valid") / F.col("n") + 0.2 * F.when(F.col("span").isNull(), 0.0).otherwise(F.least(F.col("span") / 100, F.lit(1.0)))
     return agg.select("curve_id", "n", "valid", quality.alias("quality"), (100.0 * (F.col("n") - F.col("valid")) / F.col("n")).alias("missing_pct"))
 
 

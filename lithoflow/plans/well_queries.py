@@ -81,7 +81,7 @@ SELECT curve_id, k, type, round(ds, 6) AS depth_start, round(de, 6) AS depth_end
 
 _QUALITY = _READINGS + """,
 q0 AS (SELECT curve_id, any_value(well_id) AS well_id, any_value(mnemonic) AS mnemonic, count(*) AS n, count(v) AS valid, max(v) - min(v) AS span FROM r GROUP BY curve_id),
-q AS (SELECT *, 0.8::DOUBLE * valid / n + 0.2::DOUBLE * coalesce(least(span / 100, 1), 0) AS quality, 100.0::DOUBLE * (n - valid) / n AS missing FROM q0)"""
+q AS (SELECT *, 0.8::DOUBLE * valid / n + 0.2::DOUBLE * CASE WHEN span IS NULL THEN 0 ELSE least(span / 100, 1) END AS quality, 100.0::DOUBLE * (n - valid) / n AS missing FROM q0)"""
 _TYPE = "CASE " + " ".join(f"WHEN regexp_matches(upper(mnemonic), '{'|'.join(names)}') THEN '{kind}'" for kind, names in vocab.CURVE_TYPES.items()) + " END"
 
 
