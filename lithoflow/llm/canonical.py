@@ -78,6 +78,7 @@ class Dictionary:
     titles: list[tuple[int, list[str]]] = field(default_factory=list)
     index: dict[str, set[tuple[str, str, float]]] = field(default_factory=lambda: defaultdict(set))
     uses: dict[int, int] = field(default_factory=dict)
+    known: dict[str, dict[str, float]] = field(default_factory=dict)
 
     @classmethod
     def build(cls, entries, uses: dict[int, int]) -> Dictionary:
@@ -105,7 +106,15 @@ class Dictionary:
             yield skeleton, SKELETON_COST
 
     def word(self, typed: str) -> dict[str, float]:
-        """The title words that ``typed`` can mean, with their costs."""
+        """The title words that ``typed`` can mean, with their costs; worked out once for each word."""
+        found = self.known.get(typed)
+        if found is None:
+            if len(self.known) >= KEEP:
+                self.known.clear()
+            found = self.known[typed] = self._word(typed)
+        return found
+
+    def _word(self, typed: str) -> dict[str, float]:
         best: dict[str, float] = {}
         seen: dict[str, float] = {}
         if len(typed) <= DISTANCE + 1:  # too short to be misspelled
