@@ -184,7 +184,8 @@ def repair_cost(seen: str, true: str, most: float = MOST_COST) -> float:
     row = [[99.0] * (m + 1) for _ in range(n + 1)]
     row[0][0] = 0.0
     for i in range(n + 1):
-        for j in range(m + 1):
+        # within the cost no path strays further from the diagonal
+        for j in range(max(0, i - 3), min(m, i + 3) + 1):
             here = row[i][j]
             if here > most:
                 continue
@@ -207,31 +208,35 @@ def repair_cost(seen: str, true: str, most: float = MOST_COST) -> float:
 
 
 def scans(text_blocks: DataFrame, images: DataFrame) -> DataFrame:
-    """``rec, id, source, page, text`` of all scanned texts."""
+    """``rec, id, source, page, text`` of all scanned texts; rows without id are left out."""
 
     def of(df, rec, text):
         return df.select(F.lit(rec).alias("rec"), F.col("id").cast("string").alias("id"), F.col("source_file").cast("string").alias("source"), F.col("page_number").cast("int").alias("page"), F.col(text).cast("string").alias("text"))
 
-    return of(text_blocks, "text_block", "text").unionByName(of(images, "image_context", "context_text")).unionByName(of(images, "image_caption", "caption"))
+    every = of(text_blocks, "text_block", "text").unionByName(of(images, "image_context", "context_text")).unionByName(of(images, "image_caption", "caption"))
+    return every.filter("id is not null").dropDuplicates(["rec", "id"])
 
 
 def _title_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["rec", "id", "source", "key"]
     for b in batches:
-        seen: Counter = Counter()
-        for source, page, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+        rows: list[tuple] = []
+        for rec, name, source, text in zip(*(b.column(i).to_pylist() for i in range(4))):
             lines = _LINE.split(text or "")
             if len(lines) > 1:
-                seen.update({(source, key, page) for line in lines if (key := title_key(line))})
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["source", "key", "page", "n"])
+                rows += [(rec, name, source, key) for key in {title_key(line) for line in lines} if key]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
 
 
 def with_titles(df: DataFrame) -> DataFrame:
-    """The scans with ``titles``, the folds of the lines that recur in their source."""
-    seen = df.select("source", "page", "text").mapInArrow(_title_batches, "source string, key string, page int, n bigint")
-    often = seen.groupBy("source", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= RECUR)
-    titles = often.groupBy(F.col("source").alias("__s")).agg(F.collect_set("key").alias("titles"))
-    return df.join(titles, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    """The scans with ``titles``, the folds of their lines that recur in their source."""
+    seen = df.select("rec", "id", "source", "text").mapInArrow(_title_batches, "rec string, id string, source string, key string")
+    # counted with partial sums, and joined back line by line: neither a source nor a title makes a group
+    often = seen.groupBy("source", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= RECUR).select(F.col("source").alias("__s"), F.col("key").alias("__t"))
+    own = seen.join(often, F.col("source").eqNullSafe(F.col("__s")) & (F.col("key") == F.col("__t")), "left_semi")
+    titles = own.groupBy("rec", "id").agg(F.collect_set("key").alias("titles"))
+    return df.join(titles, ["rec", "id"], "left")
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +280,9 @@ def candidates(forms: DataFrame) -> DataFrame:
     read_as = filed.select("key", "word", F.col("n").alias("n_word"), "odd")
     worth = (F.col("word") != F.col("to")) & (F.abs(F.length("word") - F.length("to")) <= 2) & (F.col("odd") | (F.col("n_to") >= RATIO * F.greatest("n_word", F.lit(0.5))))
     met = read_as.join(true, "key").filter(worth).select("word", "to", "n_word", "n_to", "odd").distinct()
+    # few bytes but much work, so the pairs are spread over all cores
+    spark = forms.sparkSession
+    met = met.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("word", "to"))
     costed = met.mapInArrow(_cost_batches, "word string, to string, n_word bigint, n_to bigint, odd boolean, cost double")
     return costed.filter(F.col("cost") <= MOST_COST).select("word", "to", "cost", "n_to", "odd")
 
