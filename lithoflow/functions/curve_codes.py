@@ -55,6 +55,7 @@ def title_entry(words: Column, flat: Column, refs: Column) -> Column:
             .when((F.length(t) >= 3) & F.startswith(w, t), F.lit(0.3))
             .when((F.length(t) >= 3) & F.rlike(w, skeleton), F.lit(0.6))
             .when(swapped, F.lit(1.0))
+            .when((F.length(t) < 4) & (F.length(w) > 3), F.lit(99.0))  # too short to be misspelled
             .when((d <= 1) | ((F.length(w) >= 6) & (d <= 2)) | ((F.length(w) >= 9) & (d <= 3)), d.cast("double"))
             .when((F.length(t) >= 3) & (F.levenshtein(t, F.substring(w, F.lit(1), F.length(t))) <= 1), F.lit(1.3))
             .otherwise(F.lit(99.0))
