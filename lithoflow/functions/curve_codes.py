@@ -65,7 +65,7 @@ def title_entry(words: Column, flat: Column, refs: Column) -> Column:
         by_word = F.aggregate(F.zip_with(words, r["words"], word_cost), F.lit(0.0), lambda a, x: a + x)
         d = F.levenshtein(flat, r["flat"]).cast("double")
         cut = F.rlike(r["flat"], F.concat(F.lit("^"), F.regexp_replace(flat, "(.)", "$1.*"))) & (F.length(flat) >= F.length(r["flat"]) * 0.5)
-        slack = F.when(F.length(r["flat"]) >= 20, F.lit(0.3)).otherwise(F.lit(0.2))
+        slack = F.when(F.length(r["flat"]) >= 20, F.lit(0.32)).otherwise(F.lit(0.2))
         whole = F.when(d <= F.greatest(F.lit(1.0), F.length(r["flat"]) * slack), d).when(cut, F.lit(2.0)).otherwise(F.lit(99.0))
         return F.when(F.size(words) == F.size(r["words"]), F.least(by_word, whole)).otherwise(whole)
 
