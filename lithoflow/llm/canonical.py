@@ -79,6 +79,7 @@ class Dictionary:
     index: dict[str, set[tuple[str, str, float]]] = field(default_factory=lambda: defaultdict(set))
     uses: dict[int, int] = field(default_factory=dict)
     known: dict[str, dict[str, float]] = field(default_factory=dict)
+    longest: int = 0
 
     @classmethod
     def build(cls, entries, uses: dict[int, int]) -> Dictionary:
@@ -90,6 +91,7 @@ class Dictionary:
             if words:
                 self.titles.append((ref_id, words))
             for w in words:
+                self.longest = max(self.longest, len(w))
                 for form, cost in self._forms(w):
                     for d in deletions(form):
                         self.index[d].add((form, w, cost))
@@ -117,6 +119,8 @@ class Dictionary:
     def _word(self, typed: str) -> dict[str, float]:
         best: dict[str, float] = {}
         seen: dict[str, float] = {}
+        if len(typed) > self.longest + DISTANCE:
+            return {}
         if len(typed) <= DISTANCE + 1:  # too short to be misspelled
             return {word: extra for form, word, extra in self.index.get(typed, ()) if form == typed}
         for d in deletions(typed):

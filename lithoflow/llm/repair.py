@@ -39,6 +39,8 @@ HYPHENS = "-­¬‐‑"
 RATIO, MOST_COST, CONFUSION_COST, OTHER_COST = 8, 1.0, 0.5, 1.5
 #: Scans of a source on which a title has to recur.
 RECUR = 2
+#: What is longer is no word.
+LONGEST = 48
 
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _PAGE_LINE = re.compile(r"[\s\[\](){}|.\-–—_*·•]*(?:(?:page|pag\.?|p\.?|pg\.?|seite|s\.)\s*)?(\d{1,5})(?:\s*(?:of|/|von|de)\s*\d{1,5})?[\s\[\](){}|.\-–—_*·•]*", re.IGNORECASE)
@@ -156,7 +158,9 @@ def word_key(word: str) -> str:
 
 
 def is_word(key: str) -> bool:
-    """Whether a key is a word at all: mostly letters."""
+    """Whether a key is a word at all: mostly letters, and not longer than words are."""
+    if len(key) > LONGEST:
+        return False
     letters = sum(c.isalpha() for c in key)
     return letters >= 2 and letters > 2 * sum(c.isdigit() for c in key) and all(c.isalnum() or c in "-'’" for c in key)
 

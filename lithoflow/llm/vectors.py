@@ -40,7 +40,7 @@ class Scheme:
 
 
 #: For pairs of a cosine of 0.92 or more (distance 0.4 or less), and for the nearest of vectors without near copies.
-PAIRS = Scheme(tables=6, hashes=22, width=2.0, probes=10)
+PAIRS = Scheme(tables=6, hashes=20, width=2.0, probes=10)
 NEAREST = Scheme(tables=8, hashes=10, width=3.0, probes=48)
 #: Bits of the sketch in which a pair may differ: at a cosine of 0.92 16.4 with a deviation of 3.8.
 MOST_BITS = 36
