@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pattern that splits a text before the merges of this vocabulary apply.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept encoded in a worker.
-KEEP = 300_000
+#: Words kept encoded, and arcs kept looked up, in a worker.
+KEEP, KEEP_ARCS = 300_000, 1_000_000
 _NEVER = 1 << 60
 
 
@@ -121,6 +121,7 @@ class Automaton:
             if ids is None:
                 if len(words) >= KEEP:
                     words.clear()
+                if len(self._arcs) >= KEEP_ARCS:
                     self._arcs.clear()
                 ids = words[w] = self.encode_word(w.encode("utf-8", "replace"))
             found.append(ids)

@@ -156,7 +156,8 @@ class Rewriter:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Uses of each code point, and of each letter with a combining accent, over the batches."""
+    """Uses of each class member of one code point, or of a letter and a combining accent, over the batches."""
+    members = {m for c in look_alikes() for m in c if 0 < len(m) <= 2}
     singles = np.zeros(sys.maxunicode + 1, np.int64)
     pairs: dict[int, int] = {}
     for b in batches:
@@ -168,17 +169,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mark = np.flatnonzero((code[1:] >= MARKS[0]) & (code[1:] <= MARKS[1]))
             for k, n in zip(*np.unique(code[mark].astype(np.int64) << 32 | code[mark + 1], return_counts=True)):
                 pairs[int(k)] = pairs.get(int(k), 0) + int(n)
-    used = np.flatnonzero(singles)
-    text = [chr(i) for i in used if not 0xD800 <= i <= 0xDFFF] + [chr(k >> 32) + chr(k & 0xFFFFFFFF) for k in pairs]
-    n = [int(singles[i]) for i in used if not 0xD800 <= i <= 0xDFFF] + list(pairs.values())
-    yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(n, pa.int64())], names=["s", "n"])
+    counts = {chr(i): int(singles[i]) for i in np.flatnonzero(singles) if not 0xD800 <= i <= 0xDFFF}
+    counts |= {chr(k >> 32) + chr(k & 0xFFFFFFFF): n for k, n in pairs.items()}
+    counts = {m: n for m, n in counts.items() if m in members}
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["s", "n"])
 
 
 def fit(df: DataFrame, text: str) -> Rewriter:
     """The rewriter for the texts of ``df``; what reaches the driver is one count for each member of a class."""
-    members = {m for c in look_alikes() for m in c if 0 < len(m) <= 2}
     counts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-    return Rewriter({r.s: r.n for r in counts.toLocalIterator() if r.s in members})
+    return Rewriter({r.s: r.n for r in counts.collect()})
 
 
 def one_form(df: DataFrame, key: str, text: str, rewriter: Rewriter | None = None) -> DataFrame:
