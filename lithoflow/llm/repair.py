@@ -182,6 +182,15 @@ def deletions(word: str) -> set[str]:
 
 def repair_cost(seen: str, true: str, most: float = MOST_COST) -> float:
     """Weighted edit distance of what was read to what may have stood there; confusions of letters and groups are cheap."""
+    # equal ends cost nothing, but for one letter that a confused group may take in
+    a, b = 0, 0
+    least = min(len(seen), len(true))
+    while a < least and seen[a] == true[a]:
+        a += 1
+    while b < least - a and seen[-1 - b] == true[-1 - b]:
+        b += 1
+    a, b = max(0, a - 1), max(0, b - 1)
+    seen, true = seen[a : len(seen) - b], true[a : len(true) - b]
     n, m = len(seen), len(true)
     if abs(n - m) > 2:
         return 99.0
