@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..plans.unit_queries import ENTRY
 from ..sources.tables import table
 from . import canonical, encode, leak, lookalike, repair, split, vectors
 
@@ -27,7 +28,12 @@ QUERIES = {
     "p10_forms": lambda spark, d: lookalike.one_form(table(spark, d, "documents"), "doc_id", "text"),
 }
 
+_TYPED = f"""WITH {ENTRY}, e AS (SELECT curve_id, mnemonic, name, coalesce(cm.id, tm.id, cn.id, tn.id, 0) AS ref_id FROM curves c
+  LEFT JOIN code cm ON cm.typed = c.mnemonic LEFT JOIN title tm ON tm.typed = c.mnemonic LEFT JOIN code cn ON cn.typed = c.name LEFT JOIN title tn ON tn.typed = c.name)"""
+
 ORACLE_SQL = {
+    "p1_found": f"{_TYPED} SELECT DISTINCT curve_id, ref_id FROM e WHERE mnemonic IS NULL OR mnemonic NOT IN (SELECT code FROM mnemonic_ref)",
+    "p1_misses": f"{_TYPED} SELECT mnemonic, name, count(*) AS n FROM e WHERE ref_id = 0 GROUP BY mnemonic, name",
     "p6_found": """
 WITH v AS (SELECT chunk_id, CAST(embedding AS DOUBLE[384]) AS e FROM chunks
   WHERE embedding IS NOT NULL AND len(embedding) = 384 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0)
