@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -39,6 +40,8 @@ HYPHENS = "-­¬‐‑"
 RATIO, MOST_COST, CONFUSION_COST, OTHER_COST = 8, 1.0, 0.5, 1.5
 #: Scans of a source on which a title has to recur.
 RECUR = 2
+#: Words kept worked out in a worker.
+KEEP = 200_000
 #: What is longer is no word.
 LONGEST = 48
 
@@ -150,6 +153,7 @@ def read(text: str, page: int | None, titles) -> tuple[list[Token], list[str]]:
     return tokens, gone
 
 
+@lru_cache(maxsize=KEEP)
 def word_key(word: str) -> str:
     """A word without case; a capital I behind a small letter stays, as it is none."""
     if word.isupper():
@@ -157,6 +161,7 @@ def word_key(word: str) -> str:
     return "".join("I" if c == "I" and i and (word[i - 1].islower() or word[i - 1] == "I" and i > 1) else c.lower() for i, c in enumerate(word))
 
 
+@lru_cache(maxsize=KEEP)
 def is_word(key: str) -> bool:
     """Whether a key is a word at all: mostly letters, and not longer than words are."""
     if len(key) > LONGEST:
