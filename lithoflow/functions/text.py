@@ -30,10 +30,15 @@ def literals(values: list[str]) -> Column:
 
 def terms_in(text: Column, terms: list[str], whole_words: bool = False) -> Column:
     """Those of ``terms`` that stand in ``text`` in any case, in order; as part of words too, unless ``whole_words``."""
-    low = F.lower(text)
-    if whole_words:
-        return F.filter(literals(terms), lambda t: F.rlike(low, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lower(t), F.lit(r"\E(?![\p{L}\p{N}])"))))
-    return F.filter(literals(terms), lambda t: F.contains(low, F.lower(t)))
+    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms])
+
+    def within(low):
+        if whole_words:
+            return F.filter(pairs, lambda p: F.rlike(low, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), p["low"], F.lit(r"\E(?![\p{L}\p{N}])"))))
+        return F.filter(pairs, lambda p: F.contains(low, p["low"]))
+
+    # the lower case is made once a text, not once a term
+    return F.get(F.transform(F.array(F.lower(text)), lambda low: F.transform(within(low), lambda p: p["term"])), F.lit(0))
 
 
 def density(text: Column, terms: list[str]) -> Column:

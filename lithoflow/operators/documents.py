@@ -38,20 +38,19 @@ def overlapping_chunks(text: Column, size: int = 500, overlap: int = 50, look_ba
     """
     least = size - look_back - overlap
     t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.length(t).alias("n"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 
     def step(acc, _):
-        at = acc["at"]
+        at, n = acc["at"], acc["n"]
         hard = F.least(at + size, n)
         tail = F.substring(t, hard - look_back + 1, F.lit(look_back))
         stop = F.length(F.regexp_extract(tail, r"(?s)^(.*[.!?])", 1))
         end = F.when((hard < n) & (stop > 0), hard - look_back + stop).otherwise(hard)
         piece = F.array(F.struct(at.alias("start"), end.cast("int").alias("stop")))
         after = F.when(end >= n, n).otherwise(F.greatest(at + 1, end - overlap)).cast("int")
-        return F.when(at >= n, acc).otherwise(F.struct(after.alias("at"), F.concat(acc["out"], piece).alias("out")))
+        return F.when(at >= n, acc).otherwise(F.struct(after.alias("at"), n.alias("n"), F.concat(acc["out"], piece).alias("out")))
 
-    return F.aggregate(F.sequence(F.lit(1), (F.floor(n / least) + 2).cast("int")), begin, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(1), (F.floor(F.length(t) / least) + 2).cast("int")), begin, step, lambda acc: acc["out"])
 
 
 def semantic_chunks(text: Column, terms: list[str], size: int = 500) -> Column:
