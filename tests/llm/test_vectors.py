@@ -31,6 +31,20 @@ def test_pairs_against_brute_force(spark, clouds):
     assert len(want) > 90 and not got - want and len(got & want) >= 0.98 * len(want)
 
 
+def test_pairs_just_over_the_limit(spark):
+    rng = np.random.default_rng(5)
+    a, r = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 600, 384)))
+    r -= (r * a).sum(1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    c = np.linspace(0.9201, 0.94, 600)[:, None]
+    x = np.vstack([a, c * a + np.sqrt(1 - c * c) * r])
+    got = {tuple(p) for p in v.found(spark.createDataFrame(rows(x), SCHEMA)).collect()}
+    want = {(i, i + 600) for i in range(600)}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    # at the limit itself, where the scheme is weakest
+    assert sum((i, i + 600) in got for i in range(150)) >= 0.98 * 150
+
+
 def test_copies_make_all_their_pairs(spark):
     one = [0.1 * i for i in range(48)]
     df = spark.createDataFrame(rows([one] * 6) + rows([one])[:1], SCHEMA)
