@@ -116,9 +116,9 @@ def exact(chunks: DataFrame, query: str) -> DataFrame:
     return chunks.withColumn("score", F.when(of_images(), image_match(query)).otherwise(score)).filter("score is not null")
 
 
-def without_repeats(df: DataFrame, order: list, prefix: int = DEFAULTS.prefix) -> DataFrame:
-    """The first row, in ``order``, of those whose content begins alike."""
-    w = Window.partitionBy(F.trim(F.substring("content", 1, prefix))).orderBy(*order)
+def without_repeats(df: DataFrame, order: list, prefix: int = DEFAULTS.prefix, by: list[str] | None = None) -> DataFrame:
+    """The first row, in ``order``, of those whose content begins alike, in each group ``by`` if given."""
+    w = Window.partitionBy(*(by or []), F.trim(F.substring("content", 1, prefix))).orderBy(*order)
     return df.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
@@ -157,9 +157,14 @@ def match_score(query: str, vector: Sequence[float]) -> Column:
 
 
 def search_by_type(chunks: DataFrame, query: str, vector: Sequence[float], types: list[str], k: int = 10) -> DataFrame:
-    """The best ``k`` of each content type, without repeats."""
-    x = chunks.filter(F.col("content_type").isin(types)).withColumn("score", match_score(query, vector)).filter("score > 0")
-    once = without_repeats(x, [F.round("score", 9).desc(), "chunk_id"])
+    """The best ``k`` of each content type by vector score, without repeats; of those that hold the term or a variation, and images
+    by ``image_match``, which adds up to a fifth."""
+    low = F.lower("content")
+    held = F.exists(tx.literals([query.strip().lower(), *variations(query)]), lambda v: F.contains(low, v))
+    factor = F.when(of_images(), 1 + 0.2 * image_match(query)).when(held, 1.0)
+    # of repeats the nearest stays, before images are scored up
+    x = chunks.filter(F.col("content_type").isin(types)).withColumn("__v", similarity(vector)).withColumn("score", F.col("__v") * factor).filter("score > 0")
+    once = without_repeats(x, [F.round("__v", 9).desc(), "chunk_id"], by=["content_type"])
     return top_k(once, k, by=["content_type"]).select("content_type", "rank", "chunk_id", "score")
 
 
