@@ -4,7 +4,8 @@ The dictionary holds the words of the canonical titles and what loaders make of
 without their vowels.  Every entry is filed under itself and under all its forms with up to ``DISTANCE``
 letters deleted; a typed word is looked up with its own deletions, and the hits are ranked by a weighted
 Damerau-Levenshtein distance.  A typed name means the title whose words, in order, cost least; of equals the
-one whose code is used most in the table.  Codes are short and close to each other, so they are matched
+one whose code is used most in the table.  A title typed as one word is looked up whole, with one letter deleted
+on either side; short words may have one slip.  Codes are short and close to each other, so they are matched
 exactly, once what loaders add to them is taken off.
 """
 
@@ -80,6 +81,9 @@ class Dictionary:
     uses: dict[int, int] = field(default_factory=dict)
     known: dict[str, dict[str, float]] = field(default_factory=dict)
     longest: int = 0
+    whole: dict[str, set[tuple[str, int]]] = field(default_factory=lambda: defaultdict(set))
+    most_words: int = 0
+    most_letters: int = 0
 
     @classmethod
     def build(cls, entries, uses: dict[int, int]) -> Dictionary:
@@ -90,12 +94,17 @@ class Dictionary:
             words = words_of(title or "")
             if words:
                 self.titles.append((ref_id, words))
+                self.most_words = max(self.most_words, len(words))
+                if len(words) > 1:
+                    self.most_letters = max(self.most_letters, len("".join(words)))
+                    for d in deletions("".join(words), 1):
+                        self.whole[d].add(("".join(words), len(self.titles) - 1))
             for w in words:
                 self.longest = max(self.longest, len(w))
                 for form, cost in self._forms(w):
                     for d in deletions(form):
                         self.index[d].add((form, w, cost))
-        self.index = dict(self.index)
+        self.index, self.whole = dict(self.index), dict(self.whole)
         return self
 
     @staticmethod
@@ -121,8 +130,13 @@ class Dictionary:
         seen: dict[str, float] = {}
         if len(typed) > self.longest + DISTANCE:
             return {}
-        if len(typed) <= DISTANCE + 1:  # too short to be misspelled
-            return {word: extra for form, word, extra in self.index.get(typed, ()) if form == typed}
+        if len(typed) <= DISTANCE + 1:  # so short that only title words as they stand may have a slip, and only one
+            best = {word: extra for form, word, extra in self.index.get(typed, ()) if form == typed}
+            for d in deletions(typed, 1) if len(typed) > 1 else ():
+                for form, word, _ in self.index.get(d, ()):
+                    if form == word and len(word) <= DISTANCE + 2 and word not in best and (cost := weighted_distance(typed, word)) <= min(1.0, LETTER_COST * len(word)):
+                        best[word] = cost
+            return best
         for d in deletions(typed):
             for form, word, extra in self.index.get(d, ()):
                 if form not in seen:
@@ -137,13 +151,24 @@ class Dictionary:
     def title(self, typed: str | None) -> tuple[int, float] | None:
         """The entry whose title ``typed`` means, and its cost."""
         words = words_of(typed or "")
-        if not words or len(words) > 8:
+        if not words:
             return None
-        # a word may be typed in two parts
-        readings = [words] + [words[:i] + [words[i] + words[i + 1]] + words[i + 2 :] for i in range(len(words) - 1)]
+        readings = []
+        if len(words) <= self.most_words + 1:
+            # a word may be typed in two parts
+            readings = [words] + [words[:i] + [words[i] + words[i + 1]] + words[i + 2 :] for i in range(len(words) - 1)]
+        joined = "".join(words)
         if max(map(len, words)) > 1:
-            readings.append(["".join(words)])
+            readings.append([joined])
         best: tuple | None = None
+        # or all of them as one
+        near: set[tuple[str, int]] = set()
+        if len(joined) <= self.most_letters + 1:
+            near.update(*(self.whole.get(d, ()) for d in {joined, *(joined[:i] + joined[i + 1 :] for i in range(len(joined)))}))
+        for title, rank in near:
+            cost = 0.0 if joined == title else weighted_distance(joined, title, 1.0)
+            if cost <= 1.0 and (best is None or (cost, rank) < best[:2]):
+                best = (cost, rank, self.titles[rank][0])
         for reading in readings:
             found = [self.word(w) for w in reading]
             if not all(found):

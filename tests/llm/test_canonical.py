@@ -52,6 +52,13 @@ def test_entries():
     assert {k: d.entry(*k)[0] for k in cases} == cases
 
 
+def test_short_long_and_joined_words():
+    long = "one two three four five seven eight nine eleven twelve"
+    d = c.Dictionary.build([(1, "GR", "Gamma Ray"), (2, "BS", "Bit Size"), (3, "NPHI", "Neutron Porosity"), (4, "LG", long), (5, "CALI", "Caliper")], {1: 10})
+    cases = {"Gamma Rya": 1, "Bti Size": 2, "Gamma Ry": 1, "GammaRay": 1, "GamaRay": 1, "NeutronPorosity log": 3, "Gam maRay": 1, long: 4, long.replace("five", "fi ve"): 4, "Ca li per": 5, "Gamma Log Xyz": 0, "Gamma Bit": 0, "GammaSize": 0, long + " more": 0}
+    assert {k: d.entry(None, k)[0] for k in cases} == cases
+
+
 def test_ties_go_to_the_more_used():
     entries = [(1, "AX", "Alpha Stone"), (2, "AY", "Alpha Stune")]
     assert c.Dictionary.build(entries, {2: 9}).entry("alpha stne", None)[0] == 2
