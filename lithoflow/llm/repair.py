@@ -1,13 +1,17 @@
 """Repairing text of scanned pages (symmetric-delete candidates, weighted edit distance, bigram context).
 
-1. Running lines go: page-number lines by their shape, titles because lines that read alike (characters that
-   scanners confuse folded together) recur over the scans of one source.
+1. Running lines go: page-number lines by their shape and the number of their page, titles because lines that
+   read alike (characters that scanners confuse folded together) recur over a share of the scans of one source.
 2. Lines are joined; a word ended by a hyphen at the end of a line is put together, with or without the
    hyphen, whichever the corpus knows.
 3. The lexicon is every unbroken word of the corpus with its count.  Every word form is filed under its forms
-   with some letters deleted, forms that meet under one key are compared by an edit distance in which only
-   what scanners confuse is cheap, and a form gives way to a far more frequent one, or to any known one if it
-   holds signs that stand in no word.  Of several, the count and the neighbours' bigram counts decide.
+   with up to two confusable letters or pairs of letters deleted, a mark kept in their place; forms that meet under
+   one key are compared by an edit distance in which only what scanners confuse is cheap, and a form gives way
+   to a far more frequent one, or to any known one if it holds signs that stand in no word.  Of several, the
+   count and the neighbours' bigram counts decide.  A word without candidate stays as it is.
+
+Forms under one key differ only in what stands at its marks, so a key's group is bounded by the table of
+confusions, however large the corpus.
 """
 
 from __future__ import annotations
@@ -17,10 +21,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -32,38 +35,40 @@ CONFUSIONS = {
 }
 # The same for more than one letter.
 CONFUSED_GROUPS = {"ri": "n", "rn": "m", "cl": "d", "ii": "u", "vv": "w", "li": "h", "ci": "a", "h": "li", "m": "rn", "d": "cl", "n": "ri", "w": "vv", "u": "ii", "tl": "d", "nn": "m", "lc": "k"}
-# Signs that no word holds, with their likeliest letter; hyphens at the end of a line.
+# Signs that no word holds, with their likeliest letter for names that stand once; hyphens at the end of a line.
 ODD = {"0": "o", "1": "l", "5": "s", "9": "g", "8": "b", "6": "b", "I": "l"}
 HYPHENS = "-­¬‐‑"
 
 #: Times more frequent a form has to be to replace another; cost of a repair at most; cost of one confusion.
 RATIO, MOST_COST, CONFUSION_COST, OTHER_COST = 8, 1.0, 0.5, 1.5
-#: Scans of a source on which a title has to recur.
-RECUR = 2
+#: Scans of a source on which a title has to recur: so many, and this share of them.
+RECUR, RECUR_SHARE = 3, 0.03
 #: Words kept worked out in a worker.
 KEEP = 200_000
-#: What is longer is no word.
-LONGEST = 48
+#: Longer words are filed by their ends: so many letters of either end hold at most one of two confusions.
+LONG_WORD, END = 26, 12
 
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _PAGE_LINE = re.compile(r"[\s\[\](){}|.\-–—_*·•]*(?:(?:page|pag\.?|p\.?|pg\.?|seite|s\.)\s*)?(\d{1,5})(?:\s*(?:of|/|von|de)\s*\d{1,5})?[\s\[\](){}|.\-–—_*·•]*", re.IGNORECASE)
+_CALLED = re.compile(r"page|pag|pg|seite", re.IGNORECASE)
 _NUMBERED_TITLE = re.compile(r"\s*(?:(\d{1,5})(?:\s{2,}|\s*\|\s*)(\S.*?)|(\S.*?)(?:\s{2,}|\s*\|\s*)(\d{1,5}))\s*")
 _CHAPTER = re.compile(r"^\s*chapter\s+\w{1,4}\s*[-–—|:]\s*(?=\S)|\s*[-–—|:]\s*chapter\s+\w{1,4}\s*$", re.IGNORECASE)
 _CORE = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.DOTALL)
 
 
-_FOLDED_GROUPS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"))
-_FOLDED = str.maketrans({"0": "a", "o": "a", "1": "i", "l": "i", "5": "s", "9": "g", "q": "g", "8": "h", "6": "h", "b": "h", "c": "e", "f": "t", "u": "n", "y": "v"})
+# What reads alike, as one letter each; then groups of these letters.
+_FOLDED = str.maketrans({"0": "a", "o": "a", "1": "i", "l": "i", "5": "s", "9": "g", "q": "g", "8": "n", "6": "n", "b": "n", "h": "n", "u": "n", "c": "e", "f": "t", "y": "v"})
+_FOLDED_GROUPS = (("rn", "m"), ("ri", "n"), ("ei", "d"), ("ii", "n"), ("vv", "w"))
 
 
 def fold(text: str) -> str:
     """A key that is the same for texts that scanners may confuse: letters and digits only, without case."""
     if sum(map(str.isupper, text)) > 2 * sum(map(str.islower, text)):
         text = text.replace("l", "I")  # a small letter among capitals
-    t = "".join(c for c in text.lower() if c.isalnum())
+    t = "".join(c for c in text.lower() if c.isalnum()).translate(_FOLDED)
     for group, one in _FOLDED_GROUPS:
         t = t.replace(group, one)
-    return t.translate(_FOLDED)
+    return t
 
 
 def is_title(text: str) -> bool:
@@ -96,21 +101,28 @@ class Token:
         return self.other is not None
 
 
-def running_line(line: str, page: int | None, titles: frozenset[str] | set[str]) -> bool:
-    """Whether a line is a page-number line or a running title."""
+def running_line(line: str, page: int | None, titles: frozenset[str] | set[str], alone: bool = True) -> bool:
+    """Whether a line is a page-number line or a running title.
+
+    A number counts if it is that of the page or a neighbour's; where the page isn't known, if it is called a page.
+    A title is one of ``titles`` or stands beside such a number; ``alone`` is whether one with a chapter is, too.
+    """
     if not line.strip():
         return False
+
+    def near(number):
+        return page is not None and abs(number - page) <= 2
+
     m = _PAGE_LINE.fullmatch(line)
-    if m and (page is None or abs(int(m.group(1)) - page) <= 2 or not line.strip().isdigit()):
+    if m and (near(int(m.group(1))) or page is None and _CALLED.search(line)):
         return True
     key = title_key(line)
     if key is None:
         return False
-    if key in titles or _CHAPTER.search(line):
+    if key in titles or alone and _CHAPTER.search(line):
         return True
     m = _NUMBERED_TITLE.fullmatch(line)
-    number = m and int(m.group(1) or m.group(4))
-    return bool(m) and (page is None or abs(number - page) <= 2) and re.search(r"\s{2,}|\|", line.strip()) is not None
+    return bool(m) and near(int(m.group(1) or m.group(4))) and re.search(r"\s{2,}|\|", line.strip()) is not None
 
 
 def read(text: str, page: int | None, titles) -> tuple[list[Token], list[str]]:
@@ -119,7 +131,7 @@ def read(text: str, page: int | None, titles) -> tuple[list[Token], list[str]]:
     gone: list[str] = []
     kept: list[str] = []
     for line in lines:
-        if len(lines) > 1 and running_line(line, page, titles):
+        if len(lines) > 1 and running_line(line, page, titles, False):
             gone.append(line.strip())
         else:
             kept.append(line)
@@ -161,28 +173,46 @@ def word_key(word: str) -> str:
     return "".join("I" if c == "I" and i and (word[i - 1].islower() or word[i - 1] == "I" and i > 1) else c.lower() for i, c in enumerate(word))
 
 
+_NUMBER_OR_LABEL = re.compile(r"[1-9]\d*[^\W\d]+|[^\W\d]+\d+")
+
+
 @lru_cache(maxsize=KEEP)
 def is_word(key: str) -> bool:
-    """Whether a key is a word at all: mostly letters, and not longer than words are."""
-    if len(key) > LONGEST:
+    """Whether a key may be a word: mostly letters, or letters and signs read for letters (``l0g``), but no number with a unit."""
+    letters, digits = sum(c.isalpha() for c in key), sum(c.isdigit() for c in key)
+    if not all(c.isalnum() or c in "-'’" for c in key):
         return False
-    letters = sum(c.isalpha() for c in key)
-    return letters >= 2 and letters > 2 * sum(c.isdigit() for c in key) and all(c.isalnum() or c in "-'’" for c in key)
+    if letters >= 2 and letters > 2 * digits:
+        return True
+    return letters >= 1 and digits >= 1 and len(key) >= (2 if key[0] == "0" else 3) and all(c in ODD for c in key if c.isdigit()) and not _NUMBER_OR_LABEL.fullmatch(key)
+
 
+# the units that a confusion may have read, and those that may have stood there
+_READ_UNITS = frozenset(CONFUSIONS) | frozenset(CONFUSED_GROUPS)
+_TRUE_UNITS = frozenset(c for v in CONFUSIONS.values() for c in v) | frozenset(CONFUSED_GROUPS.values())
+_MARK = "*"
 
-def has_odd(key: str) -> bool:
-    return any(c in ODD for c in key)
 
+def _units(word: str, units: frozenset[str], upto: int) -> list[tuple[int, int]]:
+    return [(i, i + n) for i in range(min(len(word), upto)) for n in (1, 2) if i + n <= len(word) and word[i : i + n] in units]
 
-def plain_guess(key: str) -> str:
-    """``key`` with each odd sign as its likeliest letter."""
-    return "".join(ODD.get(c, c) for c in key)
 
+def deletions(word: str, units: frozenset[str] = _READ_UNITS | _TRUE_UNITS) -> set[str]:
+    """The keys of ``word``: its forms with one or two of ``units`` deleted and marked.
 
-def deletions(word: str) -> set[str]:
-    """The forms of ``word`` with letters deleted: up to two, one of three letters, none of shorter ones."""
-    most = 2 if len(word) >= 4 else 1 if len(word) == 3 else 0
-    return {"".join(c for i, c in enumerate(word) if i not in gone) for k in range(most + 1) for gone in map(set, combinations(range(len(word)), k))}
+    Of a word over ``LONG_WORD`` letters the first and the last ``END`` letters, with one unit deleted at most: of
+    two confusions one end holds at most one.  A word that a confusion may make as long is filed in both ways.
+    """
+    out = set()
+    if len(word) > LONG_WORD - 2:
+        for side, end, of in (("<", word[: END + 2], units), (">", word[: -END - 3 : -1], frozenset(u[::-1] for u in units))):
+            out.add(side + end[:END])
+            out |= {side + (end[:a] + _MARK + end[b:])[:END] for a, b in _units(end, of, END)}
+    if len(word) <= LONG_WORD:
+        at = _units(word, units, len(word))
+        out |= {word[:a] + _MARK + word[b:] for a, b in at}
+        out |= {word[:a] + _MARK + word[b:c] + _MARK + word[d:] for i, (a, b) in enumerate(at) for c, d in at[i + 1 :] if c >= b}
+    return out
 
 
 def repair_cost(seen: str, true: str, most: float = MOST_COST) -> float:
@@ -199,6 +229,7 @@ def repair_cost(seen: str, true: str, most: float = MOST_COST) -> float:
     n, m = len(seen), len(true)
     if abs(n - m) > 2:
         return 99.0
+    # what is left is worked out on a band around the diagonal
     row = [[99.0] * (m + 1) for _ in range(n + 1)]
     row[0][0] = 0.0
     for i in range(n + 1):
@@ -251,98 +282,127 @@ def with_titles(df: DataFrame) -> DataFrame:
     """The scans with ``titles``, the folds of their lines that recur in their source."""
     seen = df.select("rec", "id", "source", "text").mapInArrow(_title_batches, "rec string, id string, source string, key string")
     # counted with partial sums, and joined back line by line: neither a source nor a title makes a group
-    often = seen.groupBy("source", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= RECUR).select(F.col("source").alias("__s"), F.col("key").alias("__t"))
+    size = df.groupBy(F.col("source").alias("__of")).agg(F.count("*").alias("size"))
+    often = seen.groupBy("source", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= RECUR).join(size, F.col("source").eqNullSafe(F.col("__of")))
+    often = often.filter(F.col("n") >= RECUR_SHARE * F.col("size")).select(F.col("source").alias("__s"), F.col("key").alias("__t"))
     own = seen.join(often, F.col("source").eqNullSafe(F.col("__s")) & (F.col("key") == F.col("__t")), "left_semi")
     titles = own.groupBy("rec", "id").agg(F.collect_set("key").alias("titles"))
     return df.join(titles, ["rec", "id"], "left")
 
 
+_READ = "rec string, id string, lines array<string>, tokens array<struct<w: string, word: boolean>>, broken array<struct<pos: int, word: string, other: string, before: string, after: string>>"
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["rec", "id", "pos", "kind", "word", "other", "before", "after"]
-    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
+    token = pa.struct([("w", pa.string()), ("word", pa.bool_())])
+    halves = pa.struct([("pos", pa.int32()), *[(n, pa.string()) for n in ("word", "other", "before", "after")]])
     for b in batches:
-        rows: list[tuple] = []
-        for rec, name, page, text, titles in zip(*(b.column(i).to_pylist() for i in range(5))):
+        lines, size, flat, plain, broken = [], [0], [], [], []
+        for page, text, titles in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
             tokens, gone = read(text or "", page, set(titles or ()))
-            rows += [(rec, name, -1 - i, "line", line, None, None, None) for i, line in enumerate(gone)]
             keys = [word_key(t.word) for t in tokens]
-            for i, (t, k) in enumerate(zip(tokens, keys)):
-                if is_word(k):
-                    rows.append((rec, name, i, "broken" if t.broken else "plain", k, word_key(t.other) if t.broken else None, keys[i - 1] if i else "", keys[i + 1] if i + 1 < len(keys) else ""))
-        cols = list(zip(*rows)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-
-def _deletion_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys: list[str] = []
-        at: list[int] = []
-        for i, w in enumerate(b.column(0).to_pylist()):
-            forms = deletions(w)
-            keys += forms
-            at += [i] * len(forms)
-        at = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["key", "word", "n", "odd"])
+            lines.append(gone)
+            flat += keys
+            plain += [not t.broken and is_word(k) for t, k in zip(tokens, keys)]
+            size.append(len(flat))
+            broken.append([
+                {"pos": i, "word": k, "other": word_key(t.other), "before": keys[i - 1] if i else "", "after": keys[i + 1] if i + 1 < len(keys) else ""}
+                for i, (t, k) in enumerate(zip(tokens, keys)) if t.broken and is_word(k)
+            ])
+        words = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays([pa.array(flat, pa.string()), pa.array(plain, pa.bool_())], fields=list(token)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.string())), words, pa.array(broken, pa.list_(halves))], names=["rec", "id", "lines", "tokens", "broken"])
+
+
+_SIGN = "[" + "".join(ODD) + "]"
+#: Forms with signs, of which any known word may stand for them: no labels, and more letters than twice the digits.
+_ODD_FORM = rf"^(?=.*{_SIGN})(?!\D+\d+$)[^2347]*$"
+#: Names that may stand once: one sign between small letters of a longer word.
+_ONE_SIGN = rf"^\p{{Ll}}+{_SIGN}\p{{Ll}}+$"
+_LEAST_NAME = 7
+
+
+def _file(units: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys: list[str] = []
+            at: list[int] = []
+            for i, w in enumerate(b.column(0).to_pylist()):
+                forms = deletions(w, units)
+                if any(c in ODD for c in w):
+                    # all signs have to give way
+                    forms = [f for f in forms if f[0] in "<>" or not any(c in ODD for c in f)]
+                keys += forms
+                at += [i] * len(forms)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[c.take(at) for c in b.columns]], names=["key", *b.schema.names])
+
+    return run
 
 
 def _cost_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cost = pa.array([repair_cost(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.float64())
-        yield pa.RecordBatch.from_arrays([*b.columns, cost], names=["word", "to", "n_word", "n_to", "odd", "cost"])
+        yield pa.RecordBatch.from_arrays([*b.columns, cost], names=["word", "to", "n_to", "cost"])
 
 
 def candidates(forms: DataFrame) -> DataFrame:
-    """``word, to, cost, n_to, odd``: what each of ``forms`` (word, n, odd) may stand for."""
-    filed = forms.mapInArrow(_deletion_batches, "key string, word string, n bigint, odd boolean")
-    true = filed.filter("n > 0 and not odd").select("key", F.col("word").alias("to"), F.col("n").alias("n_to"))
-    read_as = filed.select("key", "word", F.col("n").alias("n_word"), "odd")
-    worth = (F.col("word") != F.col("to")) & (F.abs(F.length("word") - F.length("to")) <= 2) & (F.col("odd") | (F.col("n_to") >= RATIO * F.greatest("n_word", F.lit(0.5))))
-    met = read_as.join(true, "key").filter(worth).select("word", "to", "n_word", "n_to", "odd").distinct()
-    # few bytes but much work, so the pairs are spread over all cores
-    spark = forms.sparkSession
-    met = met.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("word", "to"))
-    costed = met.mapInArrow(_cost_batches, "word string, to string, n_word bigint, n_to bigint, odd boolean, cost double")
-    return costed.filter(F.col("cost") <= MOST_COST).select("word", "to", "cost", "n_to", "odd")
+    """``word, found``: what each of ``forms`` (word, n; 0 for one the corpus doesn't know) may stand for, an array of ``to, n_to, cost``.
+
+    A form with one sign between the letters of a longer word, of which no other reading is known, may stand for its
+    likeliest spelling, which is filed with a count of 0.
+    """
+    odd = F.col("word").rlike(_ODD_FORM) & (F.length(F.regexp_replace("word", r"[\d]", "")) > 2 * F.length(F.regexp_replace("word", r"[^\d]", "")))
+    guess = F.col("word")
+    for sign, letter in ODD.items():
+        guess = F.replace(guess, F.lit(sign), F.lit(letter))
+    names = forms.filter(F.col("word").rlike(_ONE_SIGN) & (F.length("word") >= _LEAST_NAME)).select(guess.alias("to"), F.lit(0).cast("bigint").alias("n_to"))
+    # only forms without signs are what others stand for, and before the join
+    true = forms.filter((F.col("n") > 0) & ~F.col("word").rlike("[0-9I]")).select(F.col("word").alias("to"), F.col("n").alias("n_to")).unionByName(names)
+    true = true.mapInArrow(_file(_TRUE_UNITS), "key string, to string, n_to bigint")
+    read_as = forms.filter(~F.col("word").rlike("[2347]")).select("word", F.when(odd, 0).otherwise(F.greatest(RATIO * F.col("n"), F.lit(RATIO // 2))).alias("least"))
+    read_as = read_as.mapInArrow(_file(_READ_UNITS), "key string, word string, least bigint")
+    met = read_as.join(true, "key").filter((F.col("word") != F.col("to")) & (F.col("n_to") >= F.col("least"))).select("word", "to", "n_to").distinct()
+    costed = met.mapInArrow(_cost_batches, "word string, to string, n_to bigint, cost double").filter(F.col("cost") <= MOST_COST)
+    one = F.struct("to", "n_to", "cost")
+    found = costed.groupBy("word").agg(F.array_sort(F.collect_set(one)).alias("found"))
+    known = F.filter("found", lambda x: x["n_to"] > 0)
+    return found.select("word", F.when(F.size(known) > 0, known).otherwise(F.col("found")).alias("found"))
 
 
 def repairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``rec, id, source, page, text``: the repaired words ``rec, id, pos, restored``, and the running lines ``rec, id, line``."""
+    """Of ``rec, id, source, page, text``: the repaired words ``rec, id, pos, restored``, and the running lines ``rec, id, line``.
+
+    A word is repaired if it was broken or has a candidate; others stay and don't come out.
+    """
     src = with_titles(df.filter("text is not null")).select("rec", "id", "page", "text", "titles")
-    tokens = cut(src.mapInArrow(_read_batches, "rec string, id string, pos int, kind string, word string, other string, before string, after string"))
-    words = tokens.filter("kind <> 'line'")
-    odd = F.col("word").rlike("[0-9I]")
-    lexicon = words.filter("kind = 'plain'").groupBy("word").agg(F.count("*").alias("n"))
+    texts = cut(src.mapInArrow(_read_batches, _READ))
+    beside = "inline(transform(tokens, (t, i) -> struct(i as pos, t.w as word, t.word as known, if(i > 0, tokens[i - 1].w, '') as before, coalesce(get(tokens, i + 1).w, '') as after)))"
+    words = texts.select("rec", "id", F.expr(beside)).filter("known").drop("known")
+    lexicon = cut(texts.select(F.explode("tokens").alias("t")).filter("t.word").groupBy(F.col("t.w").alias("word")).agg(F.count("*").alias("n")))
     # a broken word is read with or without its hyphen, as the corpus has it
-    known = lexicon.select(F.col("word").alias("__w"), F.col("n").alias("__n"))
-    broken = words.filter("kind = 'broken'")
-    forms = broken.select("word", "other").distinct()
-    forms = forms.join(known, F.col("word") == F.col("__w"), "left").withColumnRenamed("__n", "n0").drop("__w")
-    forms = forms.join(known, F.col("other") == F.col("__w"), "left").withColumnRenamed("__n", "n1").drop("__w")
-    settled = cut(forms.select("word", "other", F.when(F.coalesce("n1", F.lit(0)) > F.coalesce("n0", F.lit(0)), F.col("other")).otherwise(F.col("word")).alias("base"), F.coalesce("n0", "n1", F.lit(0)).alias("known")))
-    both = settled.filter("known = 0").select(F.explode(F.array("word", "other")).alias("word"), F.lit(0).cast("bigint").alias("n"))
-    every = lexicon.unionByName(both).groupBy("word").agg(F.max("n").alias("n")).withColumn("odd", odd)
-    found = cut(candidates(every))
-    whole = broken.join(settled, ["word", "other"])
-    keep = ["rec", "id", "pos", "before", "after"]
-    asked = words.filter("kind = 'plain'").select(*keep, "word", F.lit(False).alias("broken"), F.lit(None).cast("string").alias("base"))
-    asked = asked.unionByName(whole.select(*keep, F.col("base").alias("word"), F.lit(True).alias("broken"), "base"))
+    broken = texts.select("rec", "id", F.expr("inline(broken)"))
+    halves = broken.select("word", "other").distinct()
+    either = halves.select("word", "other", F.expr("inline(array(struct(word as w, 0 as r), struct(other as w, 1 as r)))")).join(lexicon.withColumnRenamed("word", "w"), "w", "left")
+    seen = either.groupBy("word", "other").agg(F.coalesce(F.max(F.when(F.col("r") == 0, F.col("n"))), F.lit(0)).alias("n0"), F.coalesce(F.max(F.when(F.col("r") == 1, F.col("n"))), F.lit(0)).alias("n1"))
+    settled = cut(seen.select("word", "other", F.when(F.col("n1") > F.col("n0"), F.col("other")).otherwise(F.col("word")).alias("base"), ((F.col("n0") == 0) & (F.col("n1") == 0)).alias("unknown")))
+    both = settled.filter("unknown").select(F.explode(F.array("word", "other")).alias("word"), F.lit(0).cast("bigint").alias("n"))
+    found = candidates(lexicon.unionByName(both.distinct()))
+    hits = words.join(found, "word").select("rec", "id", "pos", "before", "after", F.lit(None).cast("string").alias("base"), "found")
     # of a broken word that the corpus doesn't know, the reading with the hyphen is asked for too
-    asked = asked.unionByName(whole.filter("known = 0").select(*keep, F.col("other").alias("word"), F.lit(True).alias("broken"), "base"))
-    hits = asked.join(found, "word")
-    pairs = words.filter("kind = 'plain' and after <> ''").groupBy(F.col("word").alias("w1"), F.col("after").alias("w2")).agg(F.count("*").alias("c"))
-    hits = hits.join(pairs.select(F.col("w1").alias("before"), F.col("w2").alias("to"), F.col("c").alias("c1")), ["before", "to"], "left")
-    hits = hits.join(pairs.select(F.col("w1").alias("to"), F.col("w2").alias("after"), F.col("c").alias("c2")), ["to", "after"], "left")
+    asked = settled.select("word", "other", "base", F.expr("explode(if(unknown, array(word, other), array(base))) as w")).join(found.withColumnRenamed("word", "w"), "w", "left")
+    asked = asked.groupBy("word", "other", "base").agg(F.flatten(F.collect_list("found")).alias("found"))
+    hits = hits.unionByName(broken.join(asked, ["word", "other"]).select(*hits.columns))
+    hits = cut(hits)
+    plain = hits.filter("size(found) <= 1").select("rec", "id", "pos", F.coalesce(F.expr("get(found, 0).to"), "base").alias("restored"))
+    # where several may stand, the neighbours' bigrams count, only those that are asked for
+    several = hits.filter("size(found) > 1").select("rec", "id", "pos", "before", "after", F.expr("inline(found)"))
+    wanted = several.select(F.expr("inline(array(struct(before as w1, to as w2), struct(to as w1, after as w2)))")).distinct()
+    pairs = words.filter("after <> ''").select(F.col("word").alias("w1"), F.col("after").alias("w2")).join(wanted, ["w1", "w2"], "left_semi").groupBy("w1", "w2").agg(F.count("*").alias("c"))
+    several = several.join(pairs.select(F.col("w1").alias("before"), F.col("w2").alias("to"), F.col("c").alias("c1")), ["before", "to"], "left")
+    several = several.join(pairs.select(F.col("w1").alias("to"), F.col("w2").alias("after"), F.col("c").alias("c2")), ["to", "after"], "left")
     score = F.log1p("n_to") - 6 * F.col("cost") + F.log1p(F.coalesce("c1", F.lit(0))) + F.log1p(F.coalesce("c2", F.lit(0)))
-    w = Window.partitionBy("rec", "id", "pos").orderBy(score.desc(), "to")
-    chosen = hits.withColumn("__k", F.row_number().over(w)).filter("__k = 1").select("rec", "id", "pos", F.col("to").alias("restored"))
-    # broken words that nothing replaces, and words with odd signs that the corpus doesn't know
-    rest = asked.filter("not broken").select("rec", "id", "pos", "word").filter(odd).unionByName(whole.select("rec", "id", "pos", F.col("base").alias("word")))
-    rest = rest.join(chosen.select("rec", "id", "pos"), ["rec", "id", "pos"], "left_anti")
-    guess = F.col("word")
-    for sign, letter in ODD.items():
-        guess = F.replace(guess, F.lit(sign), F.lit(letter))
-    out = chosen.unionByName(rest.select("rec", "id", "pos", guess.alias("restored")))
-    return out, tokens.filter("kind = 'line'").select("rec", "id", F.col("word").alias("line"))
+    chosen = several.groupBy("rec", "id", "pos").agg(F.min_by("to", F.struct((-score).alias("s"), F.col("to").alias("t"))).alias("restored"))
+    return plain.unionByName(chosen), texts.select("rec", "id", F.explode("lines").alias("line"))
 
 
 def _like(word: str, restored: str) -> str:

@@ -62,3 +62,54 @@ def test_texts(spark):
 def test_empty(spark):
     blocks, images = spark.createDataFrame([], BLOCKS), spark.createDataFrame([], IMAGES)
     assert r.found(blocks, images).count() == 0 and r.repair_texts(r.scans(blocks, images)).count() == 0
+
+
+CLEAN = "The zone1 and zone2 are type1 UTF8 sands.\n[12]\nChapter 3 - Deltaic Systems\nThe 1st 10m of well A1 and CO2."
+
+
+def test_clean_text_stays(spark):
+    blocks, images = tables(spark, [])
+    blocks = blocks.unionByName(spark.createDataFrame([("k", "other.pdf", 40, CLEAN, "z")], BLOCKS))
+    assert [tuple(x) for x in r.found(blocks, images).collect()] == []
+    assert {x.text for x in r.repair_texts(r.scans(blocks, images)).filter("id = 'k'").collect()} == {CLEAN.replace("\n", " ")}
+
+
+def test_only_candidates_repair(spark, monkeypatch):
+    texts = ["The c1aystone between the markcrs and the sand-\nstone of Ithved0ven, no cl0y1 seen"]
+    blocks, images = tables(spark, texts)
+    real = r.candidates
+    monkeypatch.setattr(r, "candidates", lambda forms: real(forms).limit(0))
+    assert {x.restored for x in r.found(blocks, images).collect()} == {"sandstone"}
+
+
+def test_recurrence_is_a_share_of_the_source(spark):
+    page = [(f"p{i}", "big.pdf", i, f"{BODY[i % 3]}\nMore of it.", "z") for i in range(200)]
+    often = [(f"q{i}", "big.pdf", i, f"Sand Ridge Atlas\n{BODY[i % 3]}", "z") for i in range(12)]
+    few = [(f"r{i}", "big.pdf", i, f"Summary Of Results\n{BODY[i % 3]}", "z") for i in range(4)]
+    got = r.found(spark.createDataFrame(page + often + few, BLOCKS), spark.createDataFrame([], IMAGES)).collect()
+    assert {x.restored for x in got} == {"Sand Ridge Atlas"} and len(got) == 12
+
+
+def test_keys_meet_for_any_two_confusions_at_any_length():
+    import random
+
+    rng = random.Random(3)
+    for n in (3, 5, 9, 20, 26, 27, 40, 90):
+        for _ in range(60):
+            true = "".join(rng.choice("aeionrstlmdhbcu") for _ in range(n))
+            at = sorted(rng.sample(range(0, n - 1, 2), min(2, n // 2)))
+            seen, last = "", 0
+            for i in at:
+                units = [(u, t) for u, v in (*r.CONFUSIONS.items(), *((k, [g]) for k, g in r.CONFUSED_GROUPS.items())) for t in v if true.startswith(t, i) and i + len(t) <= n and len(t) < 3]
+                if units:
+                    u, t = rng.choice(units)
+                    if i >= last:
+                        seen, last = seen + true[last:i] + u, i + len(t)
+            seen += true[last:]
+            if seen != true:
+                assert r.repair_cost(seen, true) <= r.MOST_COST and r.deletions(seen, r._READ_UNITS) & r.deletions(true, r._TRUE_UNITS), (seen, true)
+
+
+def test_words_of_letters_and_signs():
+    assert all(map(r.is_word, ("l0g", "0il", "0f", "c0a1", "5and", "zone1", "x" * 90))) and not any(map(r.is_word, ("10m", "5ft", "a1", "t0", "12", "m3", "1st")))
+    assert "clay" in "".join(t.word for t in r.read("cl-\nay", 1, set())[0])
