@@ -50,6 +50,8 @@ LONG_WORD, END = 26, 12
 
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _PAGE_LINE = re.compile(r"[\s\[\](){}|.\-–—_*·•]*(?:(?:page|pag\.?|p\.?|pg\.?|seite|s\.)\s*)?(\d{1,5})(?:\s*(?:of|/|von|de)\s*\d{1,5})?[\s\[\](){}|.\-–—_*·•]*", re.IGNORECASE)
+# a small word of four letters or more; a line without '|' that has one is no title
+_PLAIN_WORD = re.compile(r"(?<![\w'-])(?!chapter)[a-z][\w'-]{3}")
 _CALLED = re.compile(r"page|pag|pg|seite", re.IGNORECASE)
 _NUMBERED_TITLE = re.compile(r"\s*(?:(\d{1,5})(?:\s{2,}|\s*\|\s*)(\S.*?)|(\S.*?)(?:\s{2,}|\s*\|\s*)(\d{1,5}))\s*")
 _CHAPTER = re.compile(r"^\s*chapter\s+\w{1,4}\s*[-–—|:]\s*(?=\S)|\s*[-–—|:]\s*chapter\s+\w{1,4}\s*$", re.IGNORECASE)
@@ -80,6 +82,8 @@ def is_title(text: str) -> bool:
 
 def title_key(line: str) -> str | None:
     """The fold of a line's title, without page number and chapter; None if it is no title."""
+    if "|" not in line and _PLAIN_WORD.search(line):
+        return None
     m = _NUMBERED_TITLE.fullmatch(line)
     body = (m.group(2) or m.group(3)) if m else line
     body = _CHAPTER.sub("", body).split("|")[0].strip()
@@ -394,14 +398,13 @@ def repairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = hits.unionByName(broken.join(asked, ["word", "other"]).select(*hits.columns))
     hits = cut(hits)
     plain = hits.filter("size(found) <= 1").select("rec", "id", "pos", F.coalesce(F.expr("get(found, 0).to"), "base").alias("restored"))
-    # where several may stand, the neighbours' bigrams count, only those that are asked for
+    # where several may stand, the neighbours' bigrams count; these are counted before they move
     several = hits.filter("size(found) > 1").select("rec", "id", "pos", "before", "after", F.expr("inline(found)"))
-    wanted = several.select(F.expr("inline(array(struct(before as w1, to as w2), struct(to as w1, after as w2)))")).distinct()
-    pairs = words.filter("after <> ''").select(F.col("word").alias("w1"), F.col("after").alias("w2")).join(wanted, ["w1", "w2"], "left_semi").groupBy("w1", "w2").agg(F.count("*").alias("c"))
-    several = several.join(pairs.select(F.col("w1").alias("before"), F.col("w2").alias("to"), F.col("c").alias("c1")), ["before", "to"], "left")
-    several = several.join(pairs.select(F.col("w1").alias("to"), F.col("w2").alias("after"), F.col("c").alias("c2")), ["to", "after"], "left")
-    score = F.log1p("n_to") - 6 * F.col("cost") + F.log1p(F.coalesce("c1", F.lit(0))) + F.log1p(F.coalesce("c2", F.lit(0)))
-    chosen = several.groupBy("rec", "id", "pos").agg(F.min_by("to", F.struct((-score).alias("s"), F.col("to").alias("t"))).alias("restored"))
+    beside = several.select("rec", "id", "pos", "to", "n_to", "cost", F.expr("inline(array(struct(before as w1, to as w2), struct(to as w1, after as w2)))"))
+    pairs = words.filter("after <> ''").groupBy(F.col("word").alias("w1"), F.col("after").alias("w2")).agg(F.count("*").alias("c"))
+    scored = beside.join(pairs, ["w1", "w2"], "left").groupBy("rec", "id", "pos", "to", "n_to", "cost").agg(F.sum(F.log1p(F.coalesce("c", F.lit(0)))).alias("context"))
+    score = F.log1p("n_to") - 6 * F.col("cost") + F.col("context")
+    chosen = scored.groupBy("rec", "id", "pos").agg(F.min_by("to", F.struct((-score).alias("s"), F.col("to").alias("t"))).alias("restored"))
     return plain.unionByName(chosen), texts.select("rec", "id", F.explode("lines").alias("line"))
 
 
