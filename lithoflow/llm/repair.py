@@ -45,6 +45,8 @@ RATIO, MOST_COST, CONFUSION_COST, OTHER_COST = 8, 1.0, 0.5, 1.5
 RECUR, RECUR_SHARE = 3, 0.03
 #: Words kept worked out in a worker.
 KEEP = 200_000
+#: Forms to repair that are sent to every executor at most; more are joined by a shuffle.
+SENT_FORMS = 100_000
 #: Longer words are filed by their ends: so many letters of either end hold at most one of two confusions.
 LONG_WORD, END = 26, 12
 
@@ -390,8 +392,10 @@ def repairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = either.groupBy("word", "other").agg(F.coalesce(F.max(F.when(F.col("r") == 0, F.col("n"))), F.lit(0)).alias("n0"), F.coalesce(F.max(F.when(F.col("r") == 1, F.col("n"))), F.lit(0)).alias("n1"))
     settled = cut(seen.select("word", "other", F.when(F.col("n1") > F.col("n0"), F.col("other")).otherwise(F.col("word")).alias("base"), ((F.col("n0") == 0) & (F.col("n1") == 0)).alias("unknown")))
     both = settled.filter("unknown").select(F.explode(F.array("word", "other")).alias("word"), F.lit(0).cast("bigint").alias("n"))
-    found = candidates(lexicon.unionByName(both.distinct()))
-    hits = words.join(found, "word").select("rec", "id", "pos", "before", "after", F.lit(None).cast("string").alias("base"), "found")
+    found = cut(candidates(lexicon.unionByName(both.distinct())))
+    # the words of the corpus only move where the forms to repair are too many to send round
+    few = found.count() <= SENT_FORMS
+    hits = words.join(F.broadcast(found) if few else found, "word").select("rec", "id", "pos", "before", "after", F.lit(None).cast("string").alias("base"), "found")
     # of a broken word that the corpus doesn't know, the reading with the hyphen is asked for too
     asked = settled.select("word", "other", "base", F.expr("explode(if(unknown, array(word, other), array(base))) as w")).join(found.withColumnRenamed("word", "w"), "w", "left")
     asked = asked.groupBy("word", "other", "base").agg(F.flatten(F.collect_list("found")).alias("found"))
