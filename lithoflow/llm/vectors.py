@@ -8,6 +8,11 @@ Candidates of all tables are merged and ranked by exact distance.
 
 Pairs over a threshold are found by joins on the bucket.  Copies of one vector are found first and hashed once;
 a compact sketch in the joined rows drops most chance meetings before vectors are fetched.
+
+The nearest of many queries are found by sending rows and queries to regions, each the buckets of one remainder:
+a row goes to the region of its bucket, a query once to every region that has a bucket it visits, and the
+vectors that meet in a bucket are compared there.  The directions are taken in the subspace in which a bounded
+sample of the rows varies most, and as many of them as keep the sample's own neighbours in the visited buckets.
 """
 
 from __future__ import annotations
@@ -37,16 +42,21 @@ class Scheme:
     hashes: int
     width: float
     probes: int
+    #: dimensions of the subspace that is hashed; 0 hashes the vectors as they are
+    subspace: int = 0
 
 
 #: For pairs of a cosine of 0.92 or more (distance 0.4 or less; at 0.92 itself some 6 in 1,000 are missed), and for the nearest
 #: of vectors without near copies.
 PAIRS = Scheme(tables=12, hashes=20, width=2.2, probes=14)
-NEAREST = Scheme(tables=8, hashes=10, width=3.0, probes=48)
+NEAREST = Scheme(tables=1, hashes=14, width=1.8, probes=700, subspace=14)
 #: Bits of the sketch in which a pair may differ: at a cosine of 0.92 16.4 with a deviation of 3.8.
 MOST_BITS = 36
-#: Queries compared with all rows in one pass.
-BLOCK_QUERIES = 16_384
+#: Queries held at once in a region, and rows in one on average; of a bucket larger than this share of all rows, or than
+#: a region, parts are regions of their own.
+BLOCK_QUERIES, REGION_ROWS, HOT_SHARE = 32_768, 4096, 1 / 5000
+#: Rows the hashing is fitted on; share of the sample's neighbours that have to stay in the visited buckets.
+FIT_ROWS, FIT_RECALL = 4096, 0.93
 
 
 def probe_sets(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -137,7 +147,8 @@ def unit_rows(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             top = np.abs(x).max(axis=1)
             ok = np.isfinite(top) & (top > 0)
             x = x[ok] / top[ok, None]
-        yield rows[ok], x / np.linalg.norm(x, axis=1, keepdims=True)
+        if len(x):
+            yield rows[ok], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _signatures(scheme: Scheme):
@@ -198,11 +209,13 @@ def _verify(least: float):
     return run
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, least: float = 0.92, scheme: Scheme = PAIRS) -> DataFrame:
-    """``a, b`` (a < b): rows whose vectors have a cosine of at least ``least``.
+def similar_classes(df: DataFrame, key: str, vector: str, least: float = 0.92, scheme: Scheme = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` and ``rep, id``: pairs of different vectors with a cosine of at least ``least``, and the copies of each vector.
 
+    A vector with copies stands in the pairs by the least key of those that have it, and the second result has its
+    rows, itself among them; other vectors stand for themselves.  Copies are not expanded into pairs.
     Vectors that are null, empty, zero or not finite have no pairs, nor have vectors of different dimension.
-    Copies are pairs like others.  ``key`` is a number of each row; rows repeated with their key count once.
+    ``key`` is a number of each row; rows repeated with their key count once.
     """
     src = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
     sig = cut(src.mapInArrow(_signatures(scheme), "id bigint, same binary, s1 bigint, s2 bigint, own array<bigint>, dim int, edges binary"))
@@ -216,7 +229,12 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float = 0.92, sch
     pairs = near.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
     va = src.select(F.col("id").alias("a"), F.col("v").alias("va"))
     vb = src.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    close = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_verify(least), "a bigint, b bigint")
+    return pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_verify(least), "a bigint, b bigint"), member
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, least: float = 0.92, scheme: Scheme = PAIRS) -> DataFrame:
+    """``a, b`` (a < b): rows whose vectors have a cosine of at least ``least``, copies among them, as ``similar_classes`` finds them."""
+    close, member = similar_classes(df, key, vector, least, scheme)
     # what holds for a vector holds for its copies
     ma, mb = member.select(F.col("rep").alias("a"), F.col("id").alias("__a")), member.select(F.col("rep").alias("b"), F.col("id").alias("__b"))
     spread = close.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("__a", "a").alias("x"), F.coalesce("__b", "b").alias("y"))
@@ -224,41 +242,247 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float = 0.92, sch
     return spread.unionByName(twins).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _nearest(scheme: Scheme, k: int, shared):
+class Finder:
+    """The hash functions of a nearest search for vectors of one dimension, fitted on a sample; picklable.
+
+    The sample's mean and its directions of most variance span the subspace; positions in it are scaled to length 1.
+    Of the scheme's hashes as many are kept as leave ``FIT_RECALL`` of the sample's nearest rows in the visited
+    buckets, those nearest that stand for the ``k`` nearest of all rows; with none left every row is visited.
+    """
+
+    def __init__(self, sample: np.ndarray, rows: int, k: int, scheme: Scheme):
+        self.scheme, self.dim = scheme, sample.shape[1]
+        d = min(scheme.subspace or self.dim, self.dim)
+        self.centre = sample.mean(axis=0)
+        spread = (sample - self.centre).T @ (sample - self.centre)
+        self.basis = np.linalg.eigh(spread.astype(np.float64))[1][:, ::-1][:, :d].astype(np.float32)
+        rng = np.random.default_rng([SEED, self.dim])
+        turned = [np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(scheme.tables)]
+        most = min(scheme.hashes, d)
+        self.directions = np.stack([t[:, :most] for t in turned]).astype(np.float32)
+        place = self.place(sample)
+        self.width = float(scheme.width * max(1e-6, np.std(np.einsum("nd,tdh->nth", place, self.directions))))
+        self.shifts = rng.uniform(0, self.width, (scheme.tables, most)).astype(np.float32)
+        self.odd = rng.integers(1, 2**61, size=(scheme.tables, most)) * 2 + 1
+        self.salt = rng.integers(1, 2**62, size=scheme.tables)
+        self.hashes = next((h for h in range(most, 0, -1) if self._recall(sample, rows, k, h) >= FIT_RECALL), 0)
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        p = (x - self.centre) @ self.basis
+        return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
+
+    def _steps(self, x: np.ndarray, hashes: int):
+        p = np.einsum("nd,tdh->nth", self.place(x), self.directions[:, :, :hashes])
+        p = (p + self.shifts[:, :hashes]) / self.width
+        step = np.floor(p)
+        return step.astype(np.int64), p - step
+
+    def buckets(self, x: np.ndarray, hashes: int | None = None) -> np.ndarray:
+        """The bucket of each row in each table."""
+        h = self.hashes if hashes is None else hashes
+        with np.errstate(over="ignore"):
+            return (self._steps(x, h)[0] * self.odd[:, :h]).sum(axis=2) + self.salt
+
+    def visits(self, x: np.ndarray, hashes: int | None = None) -> np.ndarray:
+        """The buckets each query visits, of all tables, in the order of their estimated chance."""
+        h = self.hashes if hashes is None else hashes
+        step, part = self._steps(x, h)
+        with np.errstate(over="ignore"):
+            out = [(step * self.odd[:, :h]).sum(axis=2) + self.salt]
+            edges = np.concatenate([part, 1 - part], axis=2).argsort(axis=2)
+            change = np.concatenate([-self.odd[:, :h], self.odd[:, :h]], axis=1)
+            crossed = np.take_along_axis(np.broadcast_to(change, (len(x), *change.shape)), edges, axis=2)
+            for ranks in probe_sets(h, self.scheme.probes - 1) if h else ():
+                out.append(out[0] + crossed[:, :, list(ranks)].sum(axis=2))
+        return np.stack(out, axis=2).reshape(len(x), -1)
+
+    def _recall(self, sample: np.ndarray, rows: int, k: int, hashes: int) -> float:
+        ask = sample[:256]
+        near = max(1, round(k * len(sample) / max(rows, 1)))
+        score = ask @ sample.T
+        score[np.arange(len(ask)), np.arange(len(ask))] = -2
+        near = min(near, len(sample) - 1)
+        if near < 1:
+            return 1.0
+        best = np.argpartition(-score, near - 1, axis=1)[:, :near]
+        own, seen = self.buckets(sample, hashes), self.visits(ask, hashes).reshape(len(ask), self.scheme.tables, -1)
+        return float(np.mean([(own[b][:, :, None] == v[None]).any(axis=(1, 2)).mean() for b, v in zip(best, seen)]))
+
+
+def _counts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, x in unit_rows(b.column(0)):
+                dim = x.shape[1]
+                f = shared.value.get(dim)
+                own = f.buckets(x).ravel() if f else np.zeros(len(x), np.int64)
+                bucket, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), dim, np.int32)), pa.array(bucket), pa.array(n)], names=["dim", "bucket", "n"])
+
+    return run
+
+
+_MEET = "region bigint, block bigint, kind int, bucket bigint, id bigint, v binary, visits array<bigint>"
+
+
+def _region(bucket: np.ndarray, part, regions: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (bucket + part * 0x5851F42D4C957F2D).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((z >> np.uint64(33)) % np.uint64(regions)).astype(np.int64)
+
+
+def _meet_batch(region, block, kind, bucket, ids, x, visits):
+    n = len(region)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(region), pa.array(block), pa.array(np.full(n, kind, np.int32)), pa.array(bucket), ids, pa.array([v.tobytes() for v in x], pa.binary()), visits],
+        names=["region", "block", "kind", "bucket", "id", "v", "visits"],
+    )
+
+
+def _rows_to_regions(shared, regions: int, hot: dict, blocks: int):
+    """Each row to the region of its bucket in each table, once for each block of queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        dim = matrix.shape[1]
-        h = hasher(scheme, dim)
-        visits = np.concatenate([h.probes(*h.steps(matrix[i : i + 1000])) for i in range(0, len(matrix), 1000)]) if len(matrix) else np.zeros((0, scheme.tables, 1), np.int64)
-        order = []
-        for t in range(scheme.tables):
-            flat = visits[:, t].ravel()
-            by = flat.argsort(kind="stable")
-            order.append((flat[by], by // visits.shape[2]))
-        best = np.full((len(ids), k), -2.0, np.float32)
-        who = np.full((len(ids), k), -1, np.int64)
-        step = max(64, min(2000, 32_000_000 // max(1, len(ids))))
         for b in batches:
-            keys = np.asarray(b.column(0))
             for rows, x in unit_rows(b.column(1)):
-                if x.shape[1] != dim:
+                f, ids = shared.value.get(x.shape[1]), np.asarray(b.column(0))[rows]
+                own = f.buckets(x) if f else np.zeros((len(x), 1), np.int64)
+                for t in range(own.shape[1]):
+                    parts = np.array([hot.get((x.shape[1], k), 1) for k in own[:, t].tolist()])
+                    region = _region(own[:, t], (ids * 2654435761 >> 7) % parts, regions)
+                    for i in range(0, len(x), 2000):
+                        c = slice(i, i + 2000)
+                        for block in range(blocks):
+                            none = pa.nulls(len(x[c]), pa.list_(pa.int64()))
+                            yield _meet_batch(region[c], np.full(len(x[c]), block), 1, own[c, t], pa.array(ids[c]), x[c], none)
+
+    return run
+
+
+def _queries_to_regions(shared, regions: int, hot: dict, blocks: int, all_of: bool):
+    """Each query once to every region with a bucket it visits, with these buckets; with ``all_of`` to all regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, x in unit_rows(b.column(1)):
+                f, ids = shared.value.get(x.shape[1]), np.asarray(b.column(0))[rows]
+                for i in range(0, len(x), 200):
+                    y, name = x[i : i + 200], ids[i : i + 200]
+                    if all_of:
+                        who, at, visits = np.repeat(np.arange(len(y)), regions), np.tile(np.arange(regions), len(y)), None
+                    else:
+                        seen = f.visits(y) if f else np.zeros((len(y), 1), np.int64)
+                        who, bucket = np.repeat(np.arange(len(y)), seen.shape[1]), seen.ravel()
+                        at = _region(bucket, 0, regions)
+                        # the parts of hot buckets
+                        more = [(j, k, p) for j, k in enumerate(bucket.tolist()) for p in range(1, hot.get((x.shape[1], k), 1))] if hot else []
+                        if more:
+                            j, k, p = (np.array(c) for c in zip(*more))
+                            who, bucket, at = np.r_[who, who[j]], np.r_[bucket, k], np.r_[at, _region(k, p, regions)]
+                        order = np.lexsort((bucket, at, who))
+                        who, bucket, at = who[order], bucket[order], at[order]
+                        first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (at[1:] != at[:-1])])
+                        visits = pa.ListArray.from_arrays(pa.array(np.r_[first, len(who)].astype(np.int32)), pa.array(bucket))
+                        who, at = who[first], at[first]
+                    for j in range(0, len(who), 2000):
+                        c = slice(j, j + 2000)
+                        lists = pa.nulls(len(who[c]), pa.list_(pa.int64())) if visits is None else visits.slice(j, len(who[c]))
+                        yield _meet_batch(at[c], (name[who[c]] * 2654435761 >> 9) % blocks, 0, np.zeros(len(who[c]), np.int64), pa.array(name[who[c]]), y[who[c]], lists)
+
+    return run
+
+
+class _Region:
+    """The queries of one region and block, and the best rows of each so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.vectors, self.visits = k, [], [], []
+        self.matrix = None
+
+    def add(self, ids, vectors, visits):
+        self.ids += ids
+        self.vectors += vectors
+        self.visits += visits
+
+    def ready(self):
+        size = np.array([len(v) for v in self.vectors])
+        self.name = np.array(self.ids, np.int64)
+        self.best = np.full((len(size), self.k), -2.0, np.float32)
+        self.who = np.full((len(size), self.k), -1, np.int64)
+        self.matrix = {}
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            x = np.frombuffer(b"".join(self.vectors[i] for i in at), np.float32).reshape(len(at), -1)
+            every = np.array([i for i, a in enumerate(at) if self.visits[a] is None], np.int64)
+            listed = [(i, self.visits[a]) for i, a in enumerate(at) if self.visits[a] is not None]
+            who = np.repeat(np.array([i for i, _ in listed], np.int64), [len(v) for _, v in listed]) if listed else np.zeros(0, np.int64)
+            bucket = np.array([k for _, v in listed for k in v], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            self.matrix[n] = (at, x, every, bucket[order], who[order])
+        self.vectors = self.visits = None
+
+    def compare(self, size: int, bucket: int, ids: np.ndarray, x: np.ndarray):
+        if size not in self.matrix:
+            return
+        at, queries, every, keys, who = self.matrix[size]
+        a, b = np.searchsorted(keys, bucket, "left"), np.searchsorted(keys, bucket, "right")
+        q = np.r_[every, who[a:b]]
+        for i in range(0, len(q), 4096):
+            part = q[i : i + 4096]
+            mine = at[part]
+            score = queries[part] @ x.T
+            score[self.name[mine][:, None] == ids[None]] = -2.0
+            both = np.concatenate([self.best[mine], score], axis=1)
+            names = np.concatenate([self.who[mine], np.broadcast_to(ids, score.shape)], axis=1)
+            # equal ones in the order of their names
+            order = np.lexsort((names, -np.round(both, 6)), axis=1)[:, : self.k]
+            self.best[mine], self.who[mine] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+
+    def result(self) -> pa.RecordBatch:
+        q, j = np.nonzero(self.best > -2) if self.matrix is not None else (np.zeros(0, int),) * 2
+        name = self.name if self.matrix is not None else np.zeros(0, np.int64)
+        values = [name[q], self.who[q, j], self.best[q, j].astype(np.float64)] if len(q) else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["id", "other", "cosine"])
+
+
+def _search_regions(k: int):
+    """Of batches sorted by region, block, kind and bucket: the ``k`` best rows of each query in each region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, region, last = None, None, None
+        for b in batches:
+            keys = np.stack([np.asarray(b.column(c)) for c in (0, 1, 2, 3)], axis=1)
+            ids, vectors = np.asarray(b.column(4)), b.column(5)
+            edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            for i, j in zip(edge, np.r_[edge[1:], b.num_rows]):
+                at = (int(keys[i, 0]), int(keys[i, 1]))
+                if at != here:
+                    if region is not None:
+                        yield region.result()
+                    here, region, last = at, _Region(k), None
+                if keys[i, 2] == 0:
+                    region.add(ids[i:j].tolist(), vectors.slice(i, j - i).to_pylist(), b.column(6).slice(i, j - i).to_pylist())
                     continue
-                for i in range(0, len(rows), step):
-                    y, name = x[i : i + step], keys[rows[i : i + step]]
-                    mask = np.zeros((len(ids), len(y)), bool)
-                    bucket = h.buckets(h.steps(y)[0])
-                    for t, (numbers, query) in enumerate(order):
-                        first, last = np.searchsorted(numbers, bucket[:, t], "left"), np.searchsorted(numbers, bucket[:, t], "right")
-                        for j in np.flatnonzero(last > first):
-                            mask[query[first[j] : last[j]], j] = True
-                    score = np.where(mask & (ids[:, None] != name[None]), matrix @ y.T, -2.0)
-                    both, names = np.concatenate([best, score], axis=1), np.concatenate([who, np.broadcast_to(name, score.shape)], axis=1)
-                    top = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                    best, who = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
-        q, j = np.nonzero(best > -2)
-        for i in range(0, len(q), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[s]]), pa.array(who[q[s], j[s]]), pa.array(best[q[s], j[s]].astype(np.float64))], names=["id", "other", "cosine"])
+                if region.matrix is None:
+                    region.ready()
+                bucket, held = int(keys[i, 3]), vectors.slice(i, j - i).to_pylist()
+                size = np.array([len(v) for v in held])
+                for n in np.unique(size).tolist():
+                    rows = np.flatnonzero(size == n)
+                    for r in range(0, len(rows), 2000):
+                        c = rows[r : r + 2000]
+                        # a row repeated with its name counts once; they stand together
+                        kept = []
+                        for x, name in zip(c.tolist(), ids[i:j][c].tolist()):
+                            if last != (bucket, name, held[x]):
+                                kept.append(x)
+                            last = (bucket, name, held[x])
+                        if not kept:
+                            continue
+                        c = np.array(kept)
+                        region.compare(n, bucket, ids[i:j][c], np.frombuffer(b"".join(held[x] for x in c), np.float32).reshape(len(c), -1))
+        if region is not None:
+            yield region.result()
 
     return run
 
@@ -266,50 +490,49 @@ def _nearest(scheme: Scheme, k: int, shared):
 def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, scheme: Scheme = NEAREST, block: int = BLOCK_QUERIES) -> DataFrame:
     """``id, other, cosine, place``: for each row of ``queries`` the ``k`` other rows of ``df`` most similar to it.
 
-    Equal cosines are placed by ``other``.  Unusable vectors are neither asked nor found.  Queries are taken
-    in blocks of ``block``, each compared with every row in one pass; the candidates of a pass are those in the
-    visited buckets.  With the default scheme about nine in ten of the true neighbours are found where these
-    are hardly closer than the rest, and all where they are close.
+    Equal cosines are placed by ``other``.  Unusable vectors are neither asked nor found.  The hashing is fitted on
+    ``FIT_ROWS`` rows; every row is indexed and every query compared with all rows of the buckets it visits, whatever
+    their size.  A query that meets fewer than ``k`` rows visits all.  Neither rows nor queries pass through the
+    driver; what does is the sample, and the buckets that hold more than a region, less than 1 / ``HOT_SHARE``.
     """
-    sc = df.sparkSession.sparkContext
-    src = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
-    asked = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
-    shape, out = "id bigint, other bigint, cosine double", None
-    held: dict[int, list] = {}
-
-    def search(part):
-        ids = np.array([r[0] for r in part], np.int64)
-        matrix = np.stack([r[1] for r in part])
-        return src.mapInArrow(_nearest(scheme, k, sc.broadcast((ids, matrix))), shape)
-
-    def rows():
-        pending = []
-        for r in asked.toLocalIterator():
-            pending.append((r.id, r.v))
-            if len(pending) == 1000:
-                yield from unit(pending)
-                pending = []
-        yield from unit(pending)
-
-    def unit(pending):
-        names = [p[0] for p in pending]
-        for at, x in unit_rows(pa.array([p[1] for p in pending], pa.list_(pa.float32()))):
-            yield from ((names[i], v) for i, v in zip(at, x))
-
-    for name, v in rows():
-        part = held.setdefault(len(v), [])
-        part.append((name, v))
-        if len(part) == block:
-            found = search(held.pop(len(v)))
-            out = found if out is None else out.unionByName(found)
-    for part in held.values():
-        found = search(part)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], shape)
-    # a task sends its k best of each query, so a query's rows are bounded by k and the tasks
-    w = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
-    return out.distinct().withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    shape = "id bigint, other bigint, cosine double"
+
+    def usable(x):
+        return x.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
+
+    src, asked = usable(df), usable(queries).distinct() if queries.columns == [key, vector] else usable(queries)
+    rows, ask = src.count(), asked.count()
+    if not rows or not ask:
+        return spark.createDataFrame([], shape + ", place int")
+    sample = src.filter("size(v) > 0").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow()["v"].combine_chunks()
+    fitted = {x.shape[1]: Finder(x, rows, k, scheme) for _, x in unit_rows(sample) if len(x)}
+    shared = sc.broadcast(fitted)
+    regions = max(1, -(-rows * scheme.tables // REGION_ROWS))
+    limit = max(REGION_ROWS, rows * HOT_SHARE)
+    sizes = src.select("v").mapInArrow(_counts(shared), "dim int, bucket bigint, n bigint").groupBy("dim", "bucket").agg(F.sum("n").alias("n"))
+    hot = {(r.dim, r.bucket): int(-(-r.n // limit)) for r in sizes.filter(F.col("n") > limit).collect()}
+    blocks = max(1, -(-ask // block))
+    moved = src.mapInArrow(_rows_to_regions(shared, regions, hot, blocks), _MEET)
+
+    def search(some: DataFrame, all_of: bool) -> DataFrame:
+        both = some.mapInArrow(_queries_to_regions(shared, regions, hot, blocks, all_of), _MEET).unionByName(moved)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism)
+        met = both.repartition(parts, "region", "block").sortWithinPartitions("region", "block", "kind", "bucket", "id")
+        # a region sends its k best of each query, so a query's rows are bounded by k and the regions it visits
+        best = met.mapInArrow(_search_regions(k), shape).groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+        w = Window.partitionBy("id").orderBy(F.round("cosine", 6).desc(), "other")
+        return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+    out = search(asked, False)
+    if any(f.hashes for f in fitted.values()):
+        out = cut(out)
+        enough = out.filter(F.col("place") == min(k, rows - 1)).select("id")
+        short = asked.join(enough, "id", "left_anti")
+        if not short.isEmpty():
+            out = out.join(short.select("id").distinct(), "id", "left_anti").unionByName(search(short, True))
+    return out
 
 
 def found(chunks: DataFrame) -> DataFrame:

@@ -84,3 +84,56 @@ def test_data_recall(spark, data):
     ids, c = np.array([x[0] for x in p]), cosines(np.array([x[1] for x in p], dtype=np.float32))
     want = {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in zip(*np.nonzero(np.triu(c >= 0.92, 1)))}
     assert {tuple(r) for r in v.found(df).collect()} == want
+
+
+def test_classes(spark):
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal(48)
+    x = [a] * 4 + [a + 0.02 * rng.standard_normal(48)] + [rng.standard_normal(48)] * 3 + [-a]
+    pairs, member = v.similar_classes(spark.createDataFrame(rows(x), SCHEMA), "chunk_id", "embedding")
+    assert [tuple(r) for r in pairs.collect()] == [(0, 4)]
+    assert sorted(map(tuple, member.collect())) == [(0, 0), (0, 1), (0, 2), (0, 3), (5, 5), (5, 6), (5, 7)]
+
+
+def topics(n, seed, d=64):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((12, d))
+    return (centres[rng.integers(0, 12, n)] + 1.2 * rng.standard_normal((n, d))).astype(np.float32)
+
+
+def test_nearest_by_buckets_over_a_hot_bucket_and_blocks(spark, monkeypatch):
+    """More rows than the sample, regions of few rows, buckets in parts: recall and share of all rows that are compared."""
+    x = topics(3000, 11)
+    x[:900] = x[0] + 0.01 * np.random.default_rng(2).standard_normal((900, 64))
+    monkeypatch.setattr(v, "FIT_ROWS", 1000)
+    monkeypatch.setattr(v, "REGION_ROWS", 200)
+    df = spark.createDataFrame(rows(x), SCHEMA)
+    c = cosines(x)
+    np.fill_diagonal(c, -2)
+    got = v.nearest(df, "chunk_id", "embedding", df.filter("chunk_id % 50 = 0"), 10, block=17).collect()
+    least = {q: np.sort(c[q])[-10] for q in range(0, 3000, 50)}
+    assert len(got) == 600 and sum(c[r.id][r.other] >= least[r.id] - 1e-6 for r in got) >= 0.9 * 600
+
+
+def test_every_query_has_its_k_whatever_it_meets(spark):
+    x = np.vstack([topics(2000, 5), -50 * topics(1, 6)])
+    narrow = v.Scheme(tables=1, hashes=10, width=0.4, probes=2, subspace=10)
+    df = spark.createDataFrame(rows(x), SCHEMA)
+    real = v.Finder._recall
+    v.Finder._recall = lambda *a: 1.0
+    try:
+        got = v.nearest(df, "chunk_id", "embedding", df.filter("chunk_id % 500 = 0"), 10, narrow).collect()
+    finally:
+        v.Finder._recall = real
+    assert {(r.id, r.place) for r in got} == {(q, p) for q in (0, 500, 1000, 1500, 2000) for p in range(1, 11)}
+
+
+def test_data_nearest(spark, data):
+    """Over every id divisible by 50, against brute force."""
+    df = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/chunks.parquet")
+    p = [(r.chunk_id, r.embedding) for r in df.select("chunk_id", "embedding").collect() if r.embedding and any(r.embedding)]
+    ids, c = np.array([a[0] for a in p]), cosines(np.array([a[1] for a in p], dtype=np.float32))
+    np.fill_diagonal(c, -2)
+    got = {(r.id, r.other) for r in v.nearest(df, "chunk_id", "embedding", df.filter("chunk_id % 50 = 0")).collect()}
+    want = {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(ids % 50 == 0) for j in np.argsort(-c[i])[:10]}
+    assert len(got & want) >= 0.9 * len(want)
