@@ -30,13 +30,13 @@ def _looked_up(x: DataFrame, prefix: str, text: Column | str, names: DataFrame)
     return x.join(alias, F.col(f"{prefix}key") == F.col(f"{prefix}alias"), "left")
 
 
-def convert(df: DataFrame, value: str, unit: Column, note: Column, common: Column | str, default: Column | str | None = None) -> DataFrame:
-    """Adds ``common_value`` (double), ``recorded_unit`` and ``other_unit`` (boolean) to ``df``.
+def with_factors(df: DataFrame, unit: Column, note: Column, common: Column | str, default: Column | str | None = None) -> DataFrame:
+    """Adds ``factor``, ``offset``, ``recorded_unit`` and ``other_unit`` to ``df``: a value is value * factor + offset in the common unit.
 
     ``unit`` and ``note`` name the recorded unit, in this order; where neither does, ``default`` (the common
-    unit if not given) holds.  ``common`` is the unit wanted.  A null value, an unknown common unit, or units
-    of different dimensions give a null ``common_value``; NaN stays NaN.  ``other_unit`` is whether the
-    recorded unit is another one than ``common``; another spelling is not another unit.
+    unit if not given) holds.  ``common`` is the unit wanted.  An unknown common unit or units of different dimensions
+    give a null factor and offset.  ``other_unit`` is whether the recorded unit is another one than ``common``;
+    another spelling is not another unit, and its factor is 1.
     """
     names = alias_table(df.sparkSession)
     x = df.withColumns({"__unit": unit, "__note": text_unit(note)})
@@ -52,11 +52,20 @@ def convert(df: DataFrame, value: str, unit: Column, note: Column, common: Colum
     x = x.withColumns({f"__{c}": pick(c) for c in ("unit", "dimension", "factor", "offset", "scale")})
     factor, wanted = F.col("__factor") * F.col("__scale"), F.col("__c_factor") * F.col("__c_scale")
     same = (F.col("__unit") == F.col("__c_unit")) & (F.col("__scale") == F.col("__c_scale"))
-    plain = (F.col("__offset") == 0) & (F.col("__c_offset") == 0)
-    shifted = (F.col(value) * factor + F.col("__offset") - F.col("__c_offset")) / wanted
-    result = F.when(same, F.col(value)).when(plain, F.col(value) * (factor / wanted)).otherwise(shifted)
-    x = x.withColumns({"common_value": F.when(F.col("__dimension") == F.col("__c_dimension"), result), "recorded_unit": F.col("__unit"), "other_unit": ~same})
-    return x.select(*df.columns, "common_value", "recorded_unit", "other_unit")
+    fits = F.col("__dimension") == F.col("__c_dimension")
+    shift = F.when(same | (F.col("__offset") == F.col("__c_offset")) & (F.col("__offset") == 0), 0.0).otherwise((F.col("__offset") - F.col("__c_offset")) / wanted)
+    x = x.withColumns({"__f": F.when(fits, F.when(same, 1.0).otherwise(factor / wanted)), "__o": F.when(fits, shift), "__r": F.col("__unit"), "__x": ~same})
+    kept = [c for c in df.columns if c not in ("factor", "offset", "recorded_unit", "other_unit")]
+    return x.select(*kept, F.col("__f").alias("factor"), F.col("__o").alias("offset"), F.col("__r").alias("recorded_unit"), F.col("__x").alias("other_unit"))
+
+
+def convert(df: DataFrame, value: str, unit: Column, note: Column, common: Column | str, default: Column | str | None = None) -> DataFrame:
+    """Adds ``common_value`` (double), ``recorded_unit`` and ``other_unit`` (boolean) to ``df``.
+
+    The units are those of ``with_factors``.  A null value or units that don't go together give a null ``common_value``; NaN stays NaN.
+    """
+    x = with_factors(df, unit, note, common, default)
+    return x.withColumn("common_value", F.col(value) * F.col("factor") + F.col("offset")).drop("factor", "offset")
 
 
 def with_entry(curves: DataFrame, ref: DataFrame) -> DataFrame:
@@ -105,23 +114,24 @@ _PER_COMMON = {"curve_start": 100.0, "curve_stop": 100.0, "run_step": 10000.0, "
 
 def found(log_runs: DataFrame, curves: DataFrame, ref: DataFrame) -> DataFrame:
     """``quantity, rec_id, common_value``: the present quantities recorded in another unit, as whole parts of the common one."""
-    v = F.col("common_value") * F.create_map(*[F.lit(x) for kv in _PER_COMMON.items() for x in kv])[F.col("quantity")]
-    ok = F.col("other_unit") & F.col("common_value").isNotNull() & ~F.isnan("common_value") & (F.abs(v) < 9e18)
-    return common_values(log_runs, curves, ref).filter(ok).select("quantity", "rec_id", F.round(v).cast("bigint").alias("common_value")).distinct()
+    v = F.round(F.col("common_value") * F.create_map(*[F.lit(x) for kv in _PER_COMMON.items() for x in kv])[F.col("quantity")])
+    # what no bigint holds comes out as the nearest one
+    ok = F.col("other_unit") & v.isNotNull() & ~F.isnan(v)
+    return common_values(log_runs, curves, ref).filter(ok).select("quantity", "rec_id", F.least(F.greatest(v, F.lit(-(2.0**63))), F.lit(2.0**63)).cast("bigint").alias("common_value")).distinct()
 
 
 def samples_in_common_units(samples: DataFrame, curves: DataFrame, log_runs: DataFrame, ref: DataFrame) -> DataFrame:
     """Each row of ``curve_samples`` with ``depth_m`` and ``common_value``; null where the curve has no canonical entry.
 
-    Unit and scale are settled once a curve; the readings are only multiplied, after one join on ``curve_id``.
+    Unit, scale and offset are settled once a curve; a reading is only multiplied and shifted, after one join on ``curve_id``.
     Readings without curve_id, or of a curve or run that is not there, keep null.
     """
     columns = ["run_id", "mnemonic", "name", "unit", "description"]
     one = curves.filter("curve_id is not null").groupBy("curve_id").agg(F.min(F.struct(*columns)).alias("c")).select("curve_id", "c.*")
     per = with_entry(one, ref).join(_run_units(log_runs), "run_id", "left")
-    per = per.withColumn("one", F.lit(1.0))
-    per = convert(per, "one", F.col("depth_unit"), F.col("header_note"), DEPTH_UNIT).withColumnsRenamed({"common_value": "__depth_factor"}).drop("recorded_unit", "other_unit")
-    per = convert(per, "one", F.col("unit"), F.col("description"), F.col("common_unit"))
-    per = per.select("curve_id", "ref_id", "common_unit", "__depth_factor", F.col("common_value").alias("__factor"))
+    per = with_factors(per, F.col("depth_unit"), F.col("header_note"), DEPTH_UNIT).withColumnsRenamed({"factor": "__df", "offset": "__do"}).drop("recorded_unit", "other_unit")
+    per = with_factors(per, F.col("unit"), F.col("description"), F.col("common_unit"))
+    per = per.select("curve_id", "ref_id", "common_unit", "__df", "__do", F.col("factor").alias("__vf"), F.col("offset").alias("__vo"))
     kept = samples.drop("ref_id", "common_unit", "depth_m", "common_value")
-    return kept.join(per, "curve_id", "left").withColumns({"depth_m": F.col("depth") * F.col("__depth_factor"), "common_value": F.col("value") * F.col("__factor")}).drop("__depth_factor", "__factor")
+    j = kept.join(per, "curve_id", "left")
+    return j.withColumns({"depth_m": F.col("depth") * F.col("__df") + F.col("__do"), "common_value": F.col("value") * F.col("__vf") + F.col("__vo")}).drop("__df", "__do", "__vf", "__vo")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import units
 from ..operators import unit_conversion as u
 from ..sources.tables import table
@@ -14,7 +16,7 @@ def _tables(spark, d, *names):
 QUERIES = {
     "p2_found": lambda spark, d: u.found(*_tables(spark, d, "log_runs", "curves", "mnemonic_ref")),
     "p2_samples": lambda spark, d: u.samples_in_common_units(*_tables(spark, d, "curve_samples", "curves", "log_runs", "mnemonic_ref")).select(
-        "curve_id", "idx", "loaded_at", "ref_id", "common_unit", "depth_m", "common_value"
+        "curve_id", "idx", F.unix_micros("loaded_at").alias("loaded_us"), "ref_id", "common_unit", "depth_m", "common_value"
     ),
 }
 
@@ -71,5 +73,21 @@ j AS (SELECT l.quantity, l.rec_id, l.v, l.per, c.unit AS cu, c.dim AS cd, c.f AS
   CASE WHEN a.unit IS NOT NULL THEN a.dim WHEN n.unit IS NOT NULL THEN n.dim ELSE c.dim END AS dim, CASE WHEN a.unit IS NOT NULL THEN a.f WHEN n.unit IS NOT NULL THEN n.f ELSE c.f END AS f,
   CASE WHEN a.unit IS NOT NULL THEN us WHEN n.unit IS NOT NULL THEN ns ELSE 1 END AS sc FROM l LEFT JOIN alias a ON a.alias = l.uk LEFT JOIN alias n ON n.alias = l.nk LEFT JOIN alias c ON c.alias = l.ck)
 SELECT DISTINCT quantity, rec_id, CAST(round(v * (f * sc / cf) * per) AS BIGINT) AS common_value FROM j WHERE NOT (unit = cu AND sc = 1) AND dim = cd
+""",
+    "p2_samples": f"""WITH {ENTRY},
+alias AS (SELECT * FROM (VALUES {_ALIASES}) AS x(alias, unit, dim, f, o)),
+e AS (SELECT c.curve_id, c.run_id, c.unit, c.description, coalesce(cm.id, tm.id, cn.id, tn.id, 0) AS ref_id FROM curves c
+  LEFT JOIN code cm ON cm.typed = c.mnemonic LEFT JOIN title tm ON tm.typed = c.mnemonic LEFT JOIN code cn ON cn.typed = c.name LEFT JOIN title tn ON tn.typed = c.name),
+q AS (SELECT curve_id, 'depth' AS what, depth_unit AS un, header_note AS note, 'm' AS common FROM e LEFT JOIN log_runs USING (run_id)
+  UNION ALL SELECT curve_id, 'value', unit, description, common_unit FROM e LEFT JOIN mnemonic_ref USING (ref_id)),
+k AS (SELECT *, CASE WHEN {_key("un")} NOT IN {_UNKNOWN} THEN {_key("un")} END AS uk, {_scale("un")} AS us, {_noted("note")} AS nt, {_key("common")} AS ck FROM q),
+l AS (SELECT *, CASE WHEN {_key("nt")} NOT IN {_UNKNOWN} THEN {_key("nt")} END AS nk, {_scale("nt")} AS ns FROM k),
+j AS (SELECT l.curve_id, l.what, c.unit AS cu, c.dim AS cd, c.f AS cf, c.o AS co, CASE WHEN a.unit IS NOT NULL THEN a.unit WHEN n.unit IS NOT NULL THEN n.unit ELSE c.unit END AS unit,
+  CASE WHEN a.unit IS NOT NULL THEN a.dim WHEN n.unit IS NOT NULL THEN n.dim ELSE c.dim END AS dim, CASE WHEN a.unit IS NOT NULL THEN a.f WHEN n.unit IS NOT NULL THEN n.f ELSE c.f END AS f,
+  CASE WHEN a.unit IS NOT NULL THEN a.o WHEN n.unit IS NOT NULL THEN n.o ELSE c.o END AS o, CASE WHEN a.unit IS NOT NULL THEN us WHEN n.unit IS NOT NULL THEN ns ELSE 1 END AS sc
+  FROM l LEFT JOIN alias a ON a.alias = l.uk LEFT JOIN alias n ON n.alias = l.nk LEFT JOIN alias c ON c.alias = l.ck),
+r AS (SELECT curve_id, what, CASE WHEN dim = cd THEN CASE WHEN unit = cu AND sc = 1 THEN 1::DOUBLE ELSE f * sc / cf END END AS f, CASE WHEN dim = cd THEN CASE WHEN unit = cu AND sc = 1 THEN 0::DOUBLE ELSE (o - co) / cf END END AS o FROM j)
+SELECT s.curve_id, s.idx, epoch_us(s.loaded_at) AS loaded_us, e.ref_id, m.common_unit, s.depth * d.f + d.o AS depth_m, s.value * v.f + v.o AS common_value
+FROM curve_samples s LEFT JOIN e USING (curve_id) LEFT JOIN mnemonic_ref m USING (ref_id) LEFT JOIN r d ON d.curve_id = s.curve_id AND d.what = 'depth' LEFT JOIN r v ON v.curve_id = s.curve_id AND v.what = 'value'
 """,
 }

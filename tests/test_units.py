@@ -66,3 +66,22 @@ def test_samples(spark):
 def test_offset(spark):
     df = spark.createDataFrame([(50.0, "degF")], "v double, u string")
     assert math.isclose(u.convert(df, "v", F.col("u"), F.lit(None).cast("string"), "degC").first().common_value, 10.0)
+
+
+def test_samples_with_an_offset(spark):
+    ref = [(1, "TEMP", "Temperature", "degC")]
+    curves = spark.createDataFrame([(10, 1, "TEMP", None, "degF", None, 1.0, 1.0, 1.0, "x"), (11, 1, "TEMP", None, "degC", None, 1.0, 1.0, 1.0, "x"), (12, 1, "TEMP", None, "ft", None, 1.0, 1.0, 1.0, "x")], CURVES)
+    samples = spark.createDataFrame([(10, 0, 3.0, 212.0), (10, 1, None, 32.0), (11, 0, 3.0, 50.0), (12, 0, 3.0, 50.0)], "curve_id bigint, idx int, depth double, value double")
+    got = {(r.curve_id, r.idx): (r.depth_m, r.common_value) for r in u.samples_in_common_units(samples, curves, spark.createDataFrame([], RUNS), spark.createDataFrame(ref, REF_SCHEMA)).collect()}
+    assert math.isclose(got[10, 0][1], 100.0) and abs(got[10, 1][1]) < 1e-9 and got[11, 0] == (3.0, 50.0) and got[12, 0][1] is None and got[10, 1][0] is None
+
+
+def test_huge_values_stay(spark):
+    assert found(spark, [(1, "km", None, 1e30, 1), (2, "km", None, -1e30, 1), (3, "km", None, float("inf"), 1)], []) == [("run_step", 1, 2**63 - 1), ("run_step", 2, -(2**63)), ("run_step", 3, 2**63 - 1)]
+
+
+def test_a_long_list_is_taken_in_parts(spark, monkeypatch):
+    from lithoflow.functions import curve_codes
+
+    monkeypatch.setattr(curve_codes, "ENTRIES", 2)
+    test_entries(spark)
