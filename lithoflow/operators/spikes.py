@@ -5,15 +5,17 @@ A reading is flagged for one of three reasons:
 * it stands off from the readings just before and just after.  The stand-off is what is left of the curve
   after its slowly varying course (depth logs have levels, not seasons) is taken away by an opening and a
   closing over ``REACH + 1`` readings, so up to ``REACH`` readings together can stand off, a lasting change of
-  level cannot.  Per curve, the excesses of the stand-offs over a high quantile are fitted by the tail of
-  extreme-value theory (generalised Pareto, shape 0, scale from the median excess so that the spikes
-  themselves do not move it), which gives the cutoff of risk ``RISK``; it is kept within ``CUTOFF`` times the
-  curve's usual change, as a tail fitted to a few dozen readings is rough.
+  level cannot.  It is measured in the curve's usual change.  What exceeds ``THRESHOLD`` is fitted by a generalised
+  Pareto tail, shape and scale by probability-weighted moments: over all curves, without what an exponential tail
+  of the same median would hardly hold, so that the spikes themselves do not move the fit; over the curves of a
+  quantity, whose excesses weigh against ``QUANTITY_PRIOR`` of all; and a curve's own mean excess and share of
+  excesses weigh against ``PRIOR`` of its quantity.  Its cutoff is the stand-off of risk ``READING_RISK``.
 * it belongs to a run of ``STUCK`` or more equal present readings;
 * it cannot occur for the curve's quantity in its unit.
 
 Readings of a curve are handled together, in one shuffle.  A curve longer than ``BLOCK`` readings is cut into
-blocks with a margin; its usual change and cutoff are then merged from all blocks by mergeable quantiles.
+blocks with a margin.  Both ways use the same counts of changes by size class, which add up over blocks, and the
+same fit.
 """
 
 from __future__ import annotations
@@ -22,28 +24,35 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import UNITS
 from ..plans.lineage import cut
-from .unit_conversion import convert, with_entry
+from .unit_conversion import with_entry, with_factors
+from .wells import MISSING
 
 REACH = 3
 STUCK = 10
-RISK = 1e-5
-TAIL = 0.7
-CUTOFF = (6.5, 8.0)
+#: Of readings: the threshold in usual changes, the risk a reading, and how many pooled excesses a curve's own weigh against.
+THRESHOLD, READING_RISK, PRIOR = 2.0, 1e-8, 30
+#: Excesses of all curves, of which an exponential tail stands in for the first, that those of a quantity weigh against.
+QUANTITY_PRIOR = 200
+#: Of scores: the quantile whose excesses are fitted, and the risk.
+TAIL, RISK = 0.7, 1e-5
+#: Size classes in a doubling.
+OCTAVE = 64
 #: Fewer changes than this say nothing about what is usual.
 LEAST_CHANGES = 5
 #: Positions apart from which readings are no neighbours; positions of a block; margin of a block.
 GAP, BLOCK = 32, 4096
 MARGIN = GAP * STUCK
+#: Curves whose cutoffs are sent to every executor at most; more are joined by a shuffle.
+SENT_CURVES = 200_000
 #: Rows handled at once in Python.
 BUFFER = 200_000
-# What stands for a missing reading.
-MISSING = [-999.25, -9999.0]
 # Least and greatest value that can occur, by common unit of the quantity.
 LIMITS = {
     "API": (0.0, 5000.0), "mV": (-2000.0, 2000.0), "ohm.m": (0.0, 1e6), "v/v": (-0.2, 1.0), "g/cm3": (0.0, 6.0),
@@ -61,13 +70,14 @@ def present(samples: DataFrame) -> DataFrame:
 
 
 def curve_limits(curves: DataFrame, ref: DataFrame) -> DataFrame:
-    """``curve_id, lo, hi``: what can occur for each curve in its own unit; curves without a canonical entry are left out."""
-    per = with_entry(curves.select("curve_id", "mnemonic", "name", "unit", "description"), ref).filter("common_unit is not null").withColumn("one", F.lit(1.0))
-    per = convert(per, "one", F.col("unit"), F.col("description"), F.col("common_unit"))
+    """``curve_id, ref_id, lo, hi``: the canonical entry of each curve, and what can occur for it in its own unit, null where that isn't known."""
+    per = with_entry(curves.select("curve_id", "mnemonic", "name", "unit", "description"), ref).filter("common_unit is not null and curve_id is not null")
+    per = with_factors(per, F.col("unit"), F.col("description"), F.col("common_unit"))
     cases = [(unit, lo, hi) for unit, (lo, hi) in LIMITS.items() if unit in UNITS]
     lo = F.coalesce(*[F.when(F.col("common_unit") == u, F.lit(a)) for u, a, _ in cases])
     hi = F.coalesce(*[F.when(F.col("common_unit") == u, F.lit(b)) for u, _, b in cases])
-    return per.select("curve_id", (lo / F.col("common_value")).alias("lo"), (hi / F.col("common_value")).alias("hi")).filter("curve_id is not null and lo is not null").groupBy("curve_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = [((c - F.col("offset")) / F.col("factor")).alias(name) for c, name in ((lo, "lo"), (hi, "hi"))]
+    return per.select("curve_id", "ref_id", *own).groupBy("curve_id").agg(F.min("ref_id").alias("ref_id"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 # --- arrays over many curves at once ---------------------------------------------------------------------
@@ -111,53 +121,79 @@ def _by_rank(sorted_values: np.ndarray, first: np.ndarray, count: np.ndarray, q:
     return sorted_values[first + np.ceil(q * count).astype(int).clip(1) - 1]
 
 
-def usual_change(p50, p75):
-    """A curve's usual change between readings: the median, or the upper quartile brought to its level if that is more."""
-    return np.maximum(p50, p75 / 1.7)
+def size_class(x):
+    """The class of a positive size: ``OCTAVE`` classes double it."""
+    return np.floor(OCTAVE * np.log2(x)).astype(np.int64)
 
 
-def cutoff_of(tail, excess, usual):
-    """The stand-off of risk ``RISK``, from the ``TAIL`` quantile and the median excess over it."""
-    fitted = tail + excess / np.log(2.0) * np.log((1 - TAIL) / RISK)
-    return np.clip(fitted, CUTOFF[0] * usual, CUTOFF[1] * usual)
+def usual_change(c50, c75):
+    """A curve's usual change between readings, from the classes of its median and upper quartile: the median, or the quartile brought to its level if that is more."""
+    return np.maximum(2.0 ** ((c50 + 0.5) / OCTAVE), 2.0 ** ((c75 + 0.5) / OCTAVE) / 1.7)
 
 
-def judge(curve: np.ndarray, idx: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Flags of whole curves, sorted by curve and idx, without repeats; ``lo`` and ``hi`` are NaN where nothing is known."""
+def beyond(share, shape):
+    """By how many scales the tail reaches over the threshold at the risk."""
+    return np.log(share / READING_RISK) if abs(shape) < 1e-6 else ((share / READING_RISK) ** shape - 1) / shape
+
+
+def fitted_tail(size: np.ndarray, count: np.ndarray, readings: int, base: tuple | None = None) -> tuple[float, float, float, float]:
+    """``shape, scale, share, limit`` of the excesses over ``THRESHOLD``, ``count`` of each class ``size``, among so many readings.
+
+    ``base`` is the tail they belong to; without one they are the whole.
+    """
+    order = np.argsort(size)
+    y, n = np.maximum(2.0 ** ((size[order] + 0.5) / OCTAVE) - THRESHOLD, 0.0), count[order].astype(float)
+    share = n.sum() / readings
+    if base is None:
+        scale = y[np.searchsorted(np.cumsum(n), n.sum() / 2)] / np.log(2.0)
+        base = (0.0, scale, share, THRESHOLD + scale * np.log(share / READING_RISK))
+    within = y <= base[3] - THRESHOLD
+    y, n = y[within], n[within]
+    total, weight = n.sum(), n.sum() + QUANTITY_PRIOR
+    a0 = (n * y).sum() / max(total, 1.0)
+    a1 = (n * y * (1 - (np.cumsum(n) - n / 2) / max(total, 1.0))).sum() / max(total, 1.0)
+    shape = 2 - a0 / (a0 - 2 * a1) if a0 > 2 * a1 else 0.0
+    shape = (total * shape + QUANTITY_PRIOR * base[0]) / weight
+    scale = (total * a0 * (1 - shape) + QUANTITY_PRIOR * base[1]) / weight
+    share = (readings * share + QUANTITY_PRIOR) / (readings + QUANTITY_PRIOR / base[2])
+    return float(shape), float(scale), float(share), float(THRESHOLD + scale * beyond(share, shape))
+
+
+def standing(curve: np.ndarray, idx: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole curves, sorted by curve and idx, without repeats: stand-offs in usual changes, and whether a reading is stuck or can't occur.
+
+    ``lo`` and ``hi`` are NaN where nothing is known.  A curve of fewer than ``LEAST_CHANGES`` changes has no stand-offs.
+    """
     n = len(value)
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0), np.zeros(0, bool)
     other = np.r_[True, curve[1:] != curve[:-1]]
     apart = other | np.r_[True, (idx[1:] - idx[:-1]) > GAP]
     starts = np.flatnonzero(apart)
-    off = stand_off(value, starts)
-    flags = (run_lengths(value, starts) >= STUCK) | (value < lo) | (value > hi)
+    sure = (run_lengths(value, starts) >= STUCK) | (value < lo) | (value > hi)
     group = np.cumsum(other) - 1
     groups = int(group[-1]) + 1
     change = np.abs(np.diff(value, prepend=value[0]))
     has = ~apart & (change > 0)
-    g, c = group[has], change[has]
+    g, c = group[has], size_class(change[has])
     order = np.lexsort((c, g))
     count = np.bincount(g, minlength=groups)
     known = count >= LEAST_CHANGES
     first = np.cumsum(count) - count
     usual = np.full(groups, np.inf)
     usual[known] = usual_change(_by_rank(c[order], first[known], count[known], 0.5), _by_rank(c[order], first[known], count[known], 0.75))
-    size = np.bincount(group, minlength=groups)
-    begin = np.cumsum(size) - size
-    ranked = off[np.lexsort((off, group))]
-    tail = _by_rank(ranked, begin, size, TAIL)
-    excess = _by_rank(ranked, begin, size, (1 + TAIL) / 2) - tail
-    with np.errstate(invalid="ignore"):
-        limit = np.where(known, cutoff_of(tail, excess, usual), np.inf)
-    return flags | (off > limit[group])
+    return stand_off(value, starts) / usual[group], sure
+
 
+_MARKS = {"lo": -(2**62), "hi": -(2**62) + 1, "ref_id": -(2**62) + 2}
+_STANDING = "curve_id bigint, ref_id bigint, idx bigint, off double, sure boolean, n bigint"
 
-_LIMIT_LO, _LIMIT_HI = -(2**62), -(2**62) + 1
 
+def _stand_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of whole curves sorted by curve, idx and delivery: the readings that exceed the threshold or are sure, and a row a curve with its length.
 
-def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of batches sorted by curve, idx and delivery, the flagged readings; rows at the two lowest idx hold the limits."""
+    Rows at the lowest idx hold the limits and the entry of a curve.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -173,14 +209,23 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         size = 0 if last else int(rest.sum())
         keep[end:] = False
         curve, idx, value = curve[keep], idx[keep], value[keep]
-        real = idx > _LIMIT_HI
+        real = idx > max(_MARKS.values())
         number = np.cumsum(np.r_[True, curve[1:] != curve[:-1]]) - 1 if len(curve) else np.zeros(0, int)
-        bounds = np.full((2, int(number[-1]) + 1 if len(number) else 0), np.nan)
-        for row, key in enumerate((_LIMIT_LO, _LIMIT_HI)):
-            bounds[row, number[idx == key]] = value[idx == key]
+        marks = {name: np.full(int(number[-1]) + 1 if len(number) else 0, np.nan) for name in _MARKS}
+        for name, key in _MARKS.items():
+            marks[name][number[idx == key]] = value[idx == key]
         curve, idx, value, number = curve[real], idx[real], value[real], number[real]
-        flags = judge(curve, idx, value, bounds[0][number], bounds[1][number])
-        return pa.RecordBatch.from_arrays([pa.array(curve[flags]), pa.array(idx[flags])], names=["curve_id", "idx"])
+        off, sure = standing(curve, idx, value, marks["lo"][number], marks["hi"][number])
+        ref = np.nan_to_num(marks["ref_id"]).astype(np.int64)
+        out = sure | (off > THRESHOLD)
+        at, lengths = np.unique(number, return_counts=True)
+        ids = curve[np.r_[True, number[1:] != number[:-1]]] if len(number) else curve
+        k, m = int(out.sum()), len(at)
+        one = lambda a, kind: pa.array(np.r_[a, np.zeros(m, a.dtype)], kind, mask=np.r_[np.zeros(k, bool), np.ones(m, bool)])
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.r_[curve[out], ids]), pa.array(np.r_[ref[number[out]], ref[at]]), one(idx[out], pa.int64()), one(off[out], pa.float64()),
+            pa.array(np.r_[sure[out], np.zeros(m, bool)]), pa.array(np.r_[np.zeros(k, np.int64), lengths], pa.int64(), mask=np.r_[np.ones(k, bool), np.zeros(m, bool)]),
+        ], names=["curve_id", "ref_id", "idx", "off", "sure", "n"])
 
     for b in batches:
         if b.num_rows:
@@ -192,8 +237,11 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield done(True)
 
 
+_MEASURED = "curve_id bigint, idx bigint, value double, off double, class bigint, run bigint"
+
+
 def _measure_batches(block_size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of batches sorted by curve, block, idx and delivery: stand-off, change and run length of each reading of a long curve."""
+    """Of batches sorted by curve, block, idx and delivery: stand-off, class of the change and run length of each reading of a long curve."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -216,9 +264,11 @@ def _measure_batches(block_size: int, batches: Iterator[pa.RecordBatch]) -> Iter
         if len(curve):
             off, run = stand_off(value, np.flatnonzero(apart)), run_lengths(value, np.flatnonzero(apart))
         change = np.abs(np.diff(value, prepend=value[:1]))
-        change[apart] = 0
+        none = apart | (change == 0)
+        change[none] = 1
         own = idx // block_size == block
-        return pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (curve, idx, value, off, change, run.astype(np.int64))], names=["curve_id", "idx", "value", "off", "change", "run"])
+        classes = pa.array(size_class(change)[own], pa.int64(), mask=none[own])
+        return pa.RecordBatch.from_arrays([*[pa.array(x[own]) for x in (curve, idx, value, off)], classes, pa.array(run[own].astype(np.int64))], names=["curve_id", "idx", "value", "off", "class", "run"])
 
     for b in batches:
         if b.num_rows:
@@ -231,20 +281,68 @@ def _measure_batches(block_size: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 
 def _long(readings: DataFrame, limits: DataFrame, block_size: int) -> DataFrame:
-    """Flags of curves longer than a block."""
+    """The same as ``_stand_batches`` of curves longer than a block: counts of changes by class are added up over the blocks."""
     blocks = F.expr(f"sequence(floor((idx - {MARGIN}) / {block_size}), floor((idx + {MARGIN}) / {block_size}))")
     spread = readings.withColumn("block", F.explode(blocks)).select("curve_id", "block", "idx", "value", "at")
     spread = spread.repartition("curve_id", "block").sortWithinPartitions("curve_id", "block", "idx", "at")
-    m = cut(spread.select("curve_id", "block", "idx", "value").mapInArrow(partial(_measure_batches, block_size), "curve_id bigint, idx bigint, value double, off double, change double, run bigint"))
-    q = lambda c, p: F.percentile_approx(c, p, 10000)
-    moved = F.when(F.col("change") > 0, F.col("change"))
-    stats = m.groupBy("curve_id").agg(q(moved, 0.5).alias("p50"), q(moved, 0.75).alias("p75"), F.count(moved).alias("n"), q("off", TAIL).alias("tail"), q("off", (1 + TAIL) / 2).alias("upper"))
-    usual = F.greatest("p50", F.col("p75") / 1.7)
-    fitted = F.col("tail") + (F.col("upper") - F.col("tail")) / float(np.log(2.0)) * float(np.log((1 - TAIL) / RISK))
-    stats = stats.select("curve_id", F.when(F.col("n") >= LEAST_CHANGES, F.least(F.greatest(fitted, CUTOFF[0] * usual), CUTOFF[1] * usual)).alias("limit"))
-    per = stats.join(limits, "curve_id", "left")
-    bad = (F.col("run") >= STUCK) | (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")) | (F.col("off") > F.col("limit"))
-    return m.join(per, "curve_id").filter(bad).select("curve_id", "idx")
+    m = cut(spread.select("curve_id", "block", "idx", "value").mapInArrow(partial(_measure_batches, block_size), _MEASURED))
+    # a curve has at most as many classes as numbers have sizes
+    classes = m.filter("class is not null").groupBy("curve_id", "class").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("curve_id")
+    ranked = classes.withColumns({"upto": F.sum("k").over(w.orderBy("class")), "all": F.sum("k").over(w)})
+
+    def at(q):
+        return F.min(F.when(F.col("upto") >= F.greatest(F.ceil(q * F.col("all")), F.lit(1)), F.col("class")))
+
+    def size(c):
+        return F.pow(F.lit(2.0), (c + 0.5) / OCTAVE)
+
+    usual = ranked.groupBy("curve_id").agg(at(0.5).alias("c50"), at(0.75).alias("c75"), F.max("all").alias("all")).filter(F.col("all") >= LEAST_CHANGES)
+    usual = usual.select("curve_id", F.greatest(size(F.col("c50")), size(F.col("c75")) / 1.7).alias("usual"))
+    per = limits.select("curve_id", "ref_id", "lo", "hi")
+    x = m.join(usual, "curve_id", "left").join(per, "curve_id", "left")
+    sure = (F.col("run") >= STUCK) | F.coalesce(F.col("value") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("value") > F.col("hi"), F.lit(False))
+    ref = F.coalesce("ref_id", F.lit(0)).cast("bigint")
+    rows = x.select("curve_id", ref.alias("ref_id"), "idx", F.coalesce(F.col("off") / F.col("usual"), F.lit(0.0)).alias("off"), sure.alias("sure"), F.lit(None).cast("bigint").alias("n")).filter(F.col("sure") | (F.col("off") > THRESHOLD))
+    lengths = m.groupBy("curve_id").agg(F.count("*").alias("n")).join(per, "curve_id", "left")
+    return rows.unionByName(lengths.select("curve_id", ref.alias("ref_id"), F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("double").alias("off"), F.lit(False).alias("sure"), "n"))
+
+
+_TAIL = "shape double, scale double, share double, most double"
+
+
+def _fit_all(pdf):
+    pdf = pdf.groupby("class", as_index=False).agg({"k": "sum", "all_readings": "max"})
+    return pd.DataFrame([fitted_tail(pdf["class"].to_numpy(), pdf["k"].to_numpy(), int(pdf["all_readings"].iloc[0]))], columns=["shape", "scale", "share", "most"])
+
+
+def _fit_quantity(key, pdf):
+    base = tuple(pdf[["shape", "scale", "share", "most"]].iloc[0])
+    return pd.DataFrame([(key[0], *fitted_tail(pdf["class"].to_numpy(), pdf["k"].to_numpy(), int(pdf["readings"].iloc[0]), base))], columns=["ref_id", "shape", "scale", "share", "most"])
+
+
+def cutoffs(standing: DataFrame) -> DataFrame:
+    """``curve_id, ref_id, shape, limit``: the cutoff of each curve in usual changes, from the tail of its quantity and its own excesses.
+
+    Curves that mean no entry are one quantity.
+    """
+    curves = standing.filter("idx is null")
+    over = standing.filter((F.col("off") > THRESHOLD) & (F.col("off") < 1e15)).select("curve_id", "ref_id", "off")
+    classes = over.groupBy("ref_id", F.floor(OCTAVE * F.log2("off")).alias("class")).agg(F.count("*").alias("k"))
+    # groups of size classes: of all readings, and of one quantity
+    readings = curves.groupBy("ref_id").agg(F.sum("n").alias("readings"))
+    every = classes.groupBy("class").agg(F.sum("k").alias("k")).join(F.broadcast(curves.agg(F.sum("n").alias("all_readings")).withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
+    whole = every.groupBy("one").applyInPandas(_fit_all, _TAIL)
+    known = classes.join(readings, "ref_id").withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one")
+    pools = known.groupBy("ref_id").applyInPandas(_fit_quantity, "ref_id bigint, " + _TAIL)
+    tails = F.broadcast(pools)
+    own = over.join(tails.select("ref_id", "most"), "ref_id").filter("off <= most").groupBy("curve_id").agg(F.count("*").alias("k"), F.sum(F.col("off") - THRESHOLD).alias("sum"))
+    x = curves.select("curve_id", "ref_id", "n").join(tails, "ref_id").join(own, "curve_id", "left")
+    k, total, shape = F.coalesce("k", F.lit(0)), F.coalesce("sum", F.lit(0.0)), F.col("shape")
+    scale = (total * (1 - shape) + PRIOR * F.col("scale")) / (k + PRIOR)
+    risks = (k + PRIOR * F.col("share")) / (F.col("n") + PRIOR) / READING_RISK
+    beyond = F.when(F.abs(shape) < 1e-6, F.log(risks)).otherwise((F.pow(risks, shape) - 1) / shape)
+    return x.select("curve_id", "ref_id", "shape", (THRESHOLD + scale * beyond).alias("limit"))
 
 
 def flag_readings(samples: DataFrame, curves: DataFrame, ref: DataFrame, block_size: int = BLOCK) -> DataFrame:
@@ -254,6 +352,15 @@ def flag_readings(samples: DataFrame, curves: DataFrame, ref: DataFrame, block_s
     reading delivered more than once the latest present delivery counts.  Rows without curve_id or idx are
     left out.  A curve with fewer than ``LEAST_CHANGES`` changes has no stand-offs.  Empty tables give no rows.
     """
+    seen = cut(stand_offs(samples, curves, ref, block_size))
+    limits = cut(cutoffs(seen).select("curve_id", "limit"))
+    asked = seen.filter("idx is not null")
+    limits = F.broadcast(limits) if limits.count() <= SENT_CURVES else limits
+    return asked.join(limits, "curve_id", "left").filter("sure or off > limit").select("curve_id", "idx")
+
+
+def stand_offs(samples: DataFrame, curves: DataFrame, ref: DataFrame, block_size: int = BLOCK) -> DataFrame:
+    """``curve_id, ref_id, idx, off, sure, n``: the readings over the threshold and the sure ones, and for each curve a row without idx that has its length."""
     readings, limits = present(samples), curve_limits(curves, ref)
     far = (F.col("idx") >= block_size) | (F.col("idx") < 0)
     # statistics of the file leave little to read here, unless there are long curves
@@ -262,11 +369,10 @@ def flag_readings(samples: DataFrame, curves: DataFrame, ref: DataFrame, block_s
     if not long.isEmpty():
         out = _long(readings.join(long, "curve_id", "left_semi"), limits, block_size)
         readings, limits = readings.join(long, "curve_id", "left_anti"), limits.join(long, "curve_id", "left_anti")
-    marks = limits.select("curve_id", F.explode(F.array(
-        F.struct(F.lit(_LIMIT_LO).alias("idx"), F.col("lo").alias("value")), F.struct(F.lit(_LIMIT_HI).alias("idx"), F.col("hi").alias("value")),
-    )).alias("m")).select("curve_id", "m.idx", "m.value", F.lit(0).cast("bigint").alias("at"))
+    marks = [F.struct(F.lit(key).alias("idx"), F.col(name).cast("double").alias("value")) for name, key in _MARKS.items()]
+    marks = limits.select("curve_id", F.explode(F.array(*marks)).alias("m")).select("curve_id", "m.idx", "m.value", F.lit(0).cast("bigint").alias("at")).filter("value is not null")
     rows = readings.unionByName(marks).repartition("curve_id").sortWithinPartitions("curve_id", "idx", "at")
-    short = rows.select("curve_id", "idx", "value").mapInArrow(_judge_batches, "curve_id bigint, idx bigint")
+    short = rows.select("curve_id", "idx", "value").mapInArrow(_stand_batches, _STANDING)
     return short if out is None else short.unionByName(out)
 
 

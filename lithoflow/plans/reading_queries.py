@@ -11,6 +11,10 @@ from . import unit_queries as uq
 QUERIES = {"p5_found": lambda spark, d: s.found(*[table(spark, d, n) for n in ("curve_samples", "curves", "mnemonic_ref")])}
 
 
+# The SQL decides another way, by the size of a curve's usual change alone: between so many times of it.
+_CUTOFF = (6.5, 8.0)
+
+
 def _windows(f: str) -> list[str]:
     return [f"{f}(v) OVER (PARTITION BY curve_id, st ORDER BY idx ROWS BETWEEN {k} PRECEDING AND {s.REACH - k} FOLLOWING)" for k in range(s.REACH + 1)]
 
@@ -38,7 +42,7 @@ t AS (SELECT *, sum(CASE WHEN pi IS NULL OR idx - pi > {s.GAP} THEN 1 ELSE 0 END
 e AS (SELECT *, greatest(v - greatest({", ".join(_windows("min"))}), least({", ".join(_windows("max"))}) - v) AS off, sum(CASE WHEN ch = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY curve_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM t),
 {_rank("(SELECT * FROM e WHERE ch > 0)", "ch", "uc", 0.5, 0.75)},
 {_rank("e", "off", "oc", s.TAIL, (1 + s.TAIL) / 2)},
-cut AS (SELECT curve_id, least(greatest(oc.q0 + (oc.q1 - oc.q0) / {log(2)!r} * {log((1 - s.TAIL) / s.RISK)!r}, {s.CUTOFF[0]} * greatest(uc.q0, uc.q1 / 1.7::DOUBLE)), {s.CUTOFF[1]}::DOUBLE * greatest(uc.q0, uc.q1 / 1.7::DOUBLE)) AS cutoff FROM oc JOIN uc USING (curve_id) WHERE uc.n >= {s.LEAST_CHANGES}),
+cut AS (SELECT curve_id, least(greatest(oc.q0 + (oc.q1 - oc.q0) / {log(2)!r} * {log((1 - s.TAIL) / s.RISK)!r}, {_CUTOFF[0]} * greatest(uc.q0, uc.q1 / 1.7::DOUBLE)), {_CUTOFF[1]}::DOUBLE * greatest(uc.q0, uc.q1 / 1.7::DOUBLE)) AS cutoff FROM oc JOIN uc USING (curve_id) WHERE uc.n >= {s.LEAST_CHANGES}),
 z AS (SELECT e.*, count(*) OVER (PARTITION BY curve_id, run) AS len FROM e),
 q AS (SELECT curve_id, run_id, quality_score AS q FROM curves WHERE quality_score IS NOT NULL AND NOT isnan(quality_score)),
 mid AS (SELECT run_id, quantile_disc(q, 0.5) AS mid FROM q WHERE q BETWEEN 0 AND 1 AND run_id IS NOT NULL GROUP BY run_id HAVING count(*) >= 3),
