@@ -1,10 +1,11 @@
 """Merging overlapping intervals and listing the gaps between them (dyadic blocks).
 
-Closed intervals with integer limits are decomposed into canonical dyadic blocks, blocks covered by an
-ancestor are removed, sibling pairs are merged upward, and adjacent blocks are coalesced.  Work is grouped
-by (entity, cell), a cell being one block of level ``cell_level``: a cell has at most ``2**(cell_level + 1)``
-distinct blocks however many intervals an entity has, so neither a hot entity nor repeated rows can make a
-large group.  Only one row per non-empty cell is ordered along an entity.
+Closed intervals with integer limits are decomposed into canonical dyadic blocks of all levels, so a row makes at
+most two blocks a level however long it is.  Blocks covered by an ancestor are removed, sibling pairs are merged
+upward, and adjacent blocks are coalesced.  Work is grouped by (entity, cell), a cell being one block of level
+``cell_level``; what a cell leaves open, its first and last run, goes on to the cell of ``TIER`` levels above,
+with the blocks of the levels between, and so on to the top.  A group has a bounded number of rows however many
+intervals an entity has, so neither a hot entity nor repeated rows can make a large one.
 """
 
 from __future__ import annotations
@@ -13,42 +14,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_LEVEL = 12
+#: Levels between the cells of one tier and those of the next; limits are within so many bits.
+TIER, BITS = 17, 60
+#: The level of the topmost cells: all that is below 0, and the rest.
+TOP = 63
+
+
+def dyadic_blocks(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """The distinct canonical dyadic blocks ``keys, k, i`` of the half-open intervals ``[lo, hi)``: block i of level k is ``[i * 2**k, (i + 1) * 2**k)``."""
+    # what is left at a level begins at the next whole block and ends at the last
+    pieces = """
+      flatten(transform(sequence(0, cast(floor(log2(__hi - __lo)) as int) + 1), k -> filter(array(
+        if(-shiftright(-__lo, k) < shiftright(__hi, k) and -shiftright(-__lo, k) % 2 != 0, struct(k as k, -shiftright(-__lo, k) as i), null),
+        if(-shiftright(-__lo, k) < shiftright(__hi, k) and shiftright(__hi, k) % 2 != 0, struct(k as k, shiftright(__hi, k) - 1 as i), null)),
+        x -> x is not null)))
+    """
+    x = df.select(*keys, F.col(lo).cast("bigint").alias("__lo"), F.col(hi).cast("bigint").alias("__hi")).filter("__lo < __hi").distinct()
+    return x.select(*keys, F.expr(f"inline({pieces})")).distinct()
 
 
-def dyadic_blocks(df: DataFrame, keys: list[str], lo: str, hi: str, cell_level: int = CELL_LEVEL) -> DataFrame:
-    """Canonical dyadic blocks of the half-open intervals ``[lo, hi)``, levels 0 to ``cell_level``.
+def uncovered(blocks: DataFrame, cell_level: int = CELL_LEVEL) -> tuple[DataFrame, DataFrame]:
+    """``blocks`` (key, k, i) below ``cell_level`` as ``key, cell, node`` and those from it on as ``key, k, i``, both without what an ancestor of the latter covers.
 
-    Returns the distinct ``keys, cell, node``; ``node`` numbers the blocks of a cell as a heap (1 is the whole
-    cell, ``2n`` and ``2n + 1`` are the halves of ``n``).  Longer blocks come out as runs of whole cells.
+    ``node`` numbers the blocks of a cell as a heap (1 is the whole cell, ``2n`` and ``2n + 1`` are the halves of ``n``).
     """
     c = cell_level
+    high = blocks.filter(F.col("k") >= c)
+    # ancestors are looked up at the levels there are
+    levels = F.broadcast(high.agg(F.collect_set("k").alias("levels")).withColumn("one", F.lit(1)))
+    above = high.select(F.col("key").alias("__key"), F.col("k").alias("__k"), F.col("i").alias("__i"))
 
-    def at(level):
-        return -F.shiftright(-F.col("__lo"), level), F.shiftright(F.col("__hi"), level)
-
-    def block(level, index):
-        return F.struct(F.lit(level).alias("k"), index.alias("i"))
-
-    pieces = []
-    for k in range(c):
-        left, right = at(k)
-        pieces.append(F.when((left < right) & (left % 2 != 0), block(k, left)))
-        pieces.append(F.when((left < right) & (right % 2 != 0), block(k, right - 1)))
-    left, right = at(c)
-    whole = F.when(left < right, F.transform(F.sequence(left, right - 1), lambda i: block(c, i)))
-    low = F.array_compact(F.array(*pieces))
-    return (
-        df.select(*keys, F.col(lo).cast("bigint").alias("__lo"), F.col(hi).cast("bigint").alias("__hi"))
-        .filter("__lo < __hi")
-        .distinct()
-        .select(*keys, F.explode(F.concat(low, F.coalesce(whole, F.array().cast("array<struct<k:int,i:bigint>>")))).alias("b"))
-        .select(
-            *keys,
-            F.expr(f"shiftright(b.i, {c} - b.k)").alias("cell"),
-            F.expr(f"shiftleft(1L, {c} - b.k) + (b.i - shiftleft(shiftright(b.i, {c} - b.k), {c} - b.k))").alias("node"),
-        )
-        .distinct()
-    )
+    def covered(x, level):
+        up = x.withColumn("one", F.lit(1)).join(levels, "one").select(*x.columns, F.explode("levels").alias("up")).filter(F.col("up") >= level)
+        return up.join(above, (F.col("key") == F.col("__key")) & (F.col("up") == F.col("__k")) & (F.expr(f"shiftright(i, up - {level if isinstance(level, int) else 'k'})") == F.col("__i")), "left_semi").select(*x.columns).distinct()
+
+    low = blocks.filter(F.col("k") < c).select("key", F.expr(f"shiftright(i, {c} - k)").alias("cell"), F.expr(f"shiftleft(1L, {c} - k) + (i - shiftleft(shiftright(i, {c} - k), {c} - k))").alias("node"))
+    whole = covered(low.select("key", F.col("cell").alias("i")).distinct(), c).withColumnRenamed("i", "cell")
+    return low.join(whole, ["key", "cell"], "left_anti"), high.join(covered(high, F.col("k") + 1), ["key", "k", "i"], "left_anti")
 
 
 def merge_cell(cell_level: int = CELL_LEVEL):
@@ -76,73 +78,86 @@ def merge_cell(cell_level: int = CELL_LEVEL):
     """)
 
 
+def _tier(items: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Of the runs ``key, s, e, inner`` in cells of ``level``: the pieces ``key, piece, s, e`` that are settled, and the open runs.
+
+    The first and the last run of a cell are open, the rest are periods, and the space between two is a gap.
+    ``inner`` is whether the space before a run is settled already.
+    """
+    w = Window.partitionBy("key", "cell").orderBy("s")
+    x = items.withColumn("cell", F.expr(f"shiftright(s, {level})"))
+    joined = F.coalesce(F.lag("e").over(w) == F.col("s"), F.lit(False)) & ~F.col("inner")
+    x = x.withColumn("run", F.sum((~joined).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = x.groupBy("key", "cell", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("inner", "s").alias("inner"))
+    runs = runs.withColumns({"before": F.lag("e").over(w), "first": F.lag("s").over(w).isNull(), "last": F.lead("s").over(w).isNull()})
+    piece = "struct('{}' as piece, {} as s, {} as e)"
+    gap, period = piece.format("gap", "before", "s"), piece.format("period", "s", "e")
+    settled = runs.select("key", F.expr(f"inline(filter(array(if(inner or first, null, {gap}), if(first or last, null, {period})), x -> x is not null))"))
+    return settled, runs.filter("first or last").select("key", "s", "e", (~F.col("first")).alias("inner"))
+
+
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, cell_level: int = CELL_LEVEL) -> DataFrame:
     """Continuous periods and the gaps between successive periods, for each value of ``keys``.
 
     ``start`` and ``end`` are integers, both limits belong to the interval, exchanged limits mean the same
     interval, and a row with a missing limit does not count.  Intervals that overlap, nest, repeat or share a
     limit make one period; an interval of length 0 is a period of its own unless it lies in another.  Null
-    keys are a key like any other.  An empty table gives an empty result.  Other columns are ignored.
+    keys are a key like any other.  An empty table gives an empty result.  Other columns are ignored.  Limits beyond
+    2 ** ``BITS`` either way count as that.
 
     Returns ``keys, piece ('period' or 'gap'), start, end``.
     """
-    c = cell_level
-    a, b = F.col(start).cast("bigint"), F.col(end).cast("bigint")
-    named = [f"__k{i}" for i in range(len(keys))]
-    src = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], a.alias("__a"), b.alias("__b")).filter("__a is not null and __b is not null")
+    c, far = cell_level, F.lit(2**BITS)
+    a, b = (F.least(F.greatest(F.col(x).cast("bigint"), -far), far) for x in (start, end))
+    a, b = F.when(F.col(start).isNotNull(), a), F.when(F.col(end).isNotNull(), b)
+    src = df.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), a.alias("__a"), b.alias("__b")).filter("__a is not null and __b is not null")
     # doubled limits make closed intervals half-open: [a, b] is [2a, 2b + 1), and b + 1 does not touch b
-    src = src.select(*named, (2 * F.least("__a", "__b")).alias("__s"), (2 * F.greatest("__a", "__b") + 1).alias("__e"))
-    blocks = dyadic_blocks(src, named, "__s", "__e", c)
+    src = src.select("key", (2 * F.least("__a", "__b")).alias("__s"), (2 * F.greatest("__a", "__b") + 1).alias("__e"))
+    low, high = uncovered(dyadic_blocks(src, ["key"], "__s", "__e"), c)
     start_of = F.expr(f"shiftleft(node, {c} - cast(floor(log2(node)) as int))")
     end_of = F.expr(f"shiftleft(node + 1, {c} - cast(floor(log2(node)) as int))")
     # blocks in order of their start, the longer first: a block is covered where an earlier one reaches its end
-    w = Window.partitionBy(*named, "cell").orderBy(F.col("__bs"), F.col("node")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        blocks.withColumn("__bs", start_of)
+    w = Window.partitionBy("key", "cell").orderBy(F.col("__bs"), F.col("node")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        low.withColumn("__bs", start_of)
         .withColumn("__be", end_of)
         .withColumn("__reach", F.max("__be").over(w))
         .filter("__reach is null or __reach < __be")
-        .groupBy(*named, "cell")
+        .groupBy("key", "cell")
         .agg(F.collect_list("node").alias("__nodes"))
         .withColumn("__off", F.shiftleft("cell", c))
         .withColumn("__local", merge_cell(c))
-        .select(*named, "cell", F.expr("transform(__local, r -> struct(__off + r.s as s, __off + r.e as e))").alias("runs"))
+        .select("key", F.expr("inline(transform(__local, r -> struct(__off + r.s as s, __off + r.e as e)))"))
     )
-    order = Window.partitionBy(*named).orderBy("cell")
-    chained = (
-        cells.withColumn("__head", F.expr("runs[0].s"))
-        .withColumn("__tail", F.expr("element_at(runs, -1)"))
-        .withColumn("__prev", F.lag("__tail.e").over(order))
-        .withColumn("__next", F.lead("__head").over(order))
-        .withColumn("__own", F.expr("if(size(runs) = 1 and __head <=> __prev, null, __tail.s)"))
-        .withColumn("__chain", F.last("__own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__before", F.lag("__chain").over(order))
-    )
-    done = F.expr("""
-      filter(transform(runs, (r, j) -> struct(
-          if(j = 0 and r.s <=> __prev, __before, r.s) as s, r.e as e,
-          if(j = size(runs) - 1, __next, try_element_at(runs, j + 2).s) as n)), x -> not (x.n <=> x.e))
-    """)
-    one = F.expr("explode(if(n is null, array(struct('period' as piece, s as s, e as e)), array(struct('period' as piece, s as s, e as e), struct('gap' as piece, e as s, n + 1 as e))))")
-    return (
-        chained.select(*named, F.explode(done).alias("p"))
-        .select(*named, "p.s", "p.e", "p.n")
-        .select(*named, one.alias("o"))
-        .select(
-            *[F.col(n).alias(k) for k, n in zip(keys, named)],
-            F.col("o.piece").alias("piece"),
-            F.when(F.col("o.piece") == "period", F.shiftright("o.s", 1)).otherwise(F.shiftright(F.col("o.s") - 1, 1)).alias("start"),
-            F.shiftright(F.col("o.e") - 1, 1).alias("end"),
-        )
+    level, items, out = c, runs.withColumn("inner", F.lit(False)), None
+    while True:
+        up = min(level + TIER, TOP)
+        blocks = high.filter((F.col("k") >= level) & (F.col("k") < up)).select("key", F.expr("shiftleft(i, k)").alias("s"), F.expr("shiftleft(i + 1, k)").alias("e"), F.lit(False).alias("inner"))
+        settled, items = _tier(items.unionByName(blocks), up)
+        out = settled if out is None else out.unionByName(settled)
+        if up == TOP:
+            break
+        level = up
+    # at the top two cells are left, below and from 0 on
+    w = Window.partitionBy("key").orderBy("s")
+    x = items.withColumn("run", F.sum((~(F.coalesce(F.lag("e").over(w) == F.col("s"), F.lit(False)) & ~F.col("inner"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.groupBy("key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("inner", "s").alias("inner")).withColumn("before", F.lag("e").over(w))
+    out = out.unionByName(x.select("key", F.expr("inline(filter(array(struct('period' as piece, s as s, e as e), if(inner or before is null, null, struct('gap' as piece, before as s, s as e))), x -> x is not null))")))
+    period = F.col("piece") == "period"
+    return out.select(
+        *[F.col(f"key.k{i}").alias(k) for i, k in enumerate(keys)],
+        "piece",
+        F.when(period, F.shiftright("s", 1)).otherwise(F.shiftright(F.col("s") - 1, 1)).alias("start"),
+        F.when(period, F.shiftright(F.col("e") - 1, 1)).otherwise(F.shiftright("e", 1)).alias("end"),
     )
 
 
 def found(interpretations: DataFrame, log_runs: DataFrame) -> DataFrame:
-    """Periods and gaps of both depth-interval tables in centimetres: ``src, well_id, piece, start_cm, end_cm``."""
+    """Periods and gaps of both depth-interval tables in centimetres: ``src, well_id, piece, start_cm, end_cm``; what no integer holds counts as the greatest."""
 
     def cm(c):
-        v = F.col(c).cast("double")
-        return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15), F.round(v * 100).cast("bigint"))
+        v = F.round(F.col(c).cast("double") * 100)
+        return F.when(v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(-(2.0**BITS))), F.lit(2.0**BITS)).cast("bigint"))
 
     def of(df, src, top, base):
         return df.select(F.lit(src).alias("src"), "well_id", cm(top).alias("a"), cm(base).alias("b"))

@@ -50,3 +50,38 @@ def test_against_brute_force(spark, level):
             rows.append((w, a, a + r.choice([0, 0, 1, 2, 5, 40])))
     rows += rows[:20]
     assert merged(spark, rows, level) == brute(rows)
+
+
+def test_long_intervals_against_brute_force(spark):
+    r = random.Random(6)
+    rows = []
+    for w in "abcd":
+        for _ in range(80):
+            size = r.choice([0, 1, 7, 900, 2**13, 2**20, 2**31, 2**44, 2**50])
+            a = r.choice([0, 2**r.randint(0, 52), -(2 ** r.randint(0, 52)), r.randint(-(2**55), 2**55)])
+            rows.append((w, a, a + r.randint(0, size)))
+        rows += [(w, 2**58, 2**58 + 2**50), (w, 2**58 + 2**50, 2**58 + 2**51), (w, 2**58 + 2**51 + 1, 2**58 + 2**52)]
+    assert merged(spark, rows) == brute(rows)
+
+
+def test_tiers_against_brute_force(spark, monkeypatch):
+    """Cells of all tiers hold several runs."""
+    monkeypatch.setattr(intervals, "TIER", 4)
+    monkeypatch.setattr(intervals, "TOP", 13)
+    test_against_brute_force(spark, 1)
+
+
+def test_blocks_a_row_are_few_and_cover_it(spark):
+    df = spark.createDataFrame([("w", -(2**55) + 3, 2**55 - 5)], "key string, lo bigint, hi bigint")
+    got = sorted((b.i << b.k, (b.i + 1) << b.k) for b in intervals.dyadic_blocks(df, ["key"], "lo", "hi").collect())
+    assert len(got) <= 2 * 62 and got[0][0] == -(2**55) + 3 and got[-1][1] == 2**55 - 5 and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+
+
+def test_limits_beyond_the_bits(spark):
+    assert merged(spark, [("w", -(2**63), 2**63 - 1), ("w", 5, 6)]) == [("w", "period", -(2**60), 2**60)]
+
+
+def test_infinite_depths(spark):
+    i = spark.createDataFrame([("w", 1.0, float("inf")), ("w", float("nan"), 3.0), ("w", -5.0, 0.0)], "well_id string, depth_top double, depth_base double")
+    runs = spark.createDataFrame([], "well_id string, depth_min double, depth_max double")
+    assert sorted((r.piece, r.start_cm, r.end_cm) for r in intervals.found(i, runs).collect()) == [("gap", 0, 100), ("period", -500, 0), ("period", 100, 2**60)]
