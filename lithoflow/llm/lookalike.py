@@ -1,18 +1,23 @@
 """One form for texts that look the same (look-alike classes, frequent representatives, multi-pattern rewriting).
 
 Which strings look alike is given by pairs: fixed pairs of letters and signs, and rules over the Unicode
-character database (width forms, kinds of blank, invisible characters, composed and combining accents).
-Union-find makes the pairs transitive.  Each class is written as its member most frequent in the corpus, and
-texts are rewritten from left to right, the longest pattern first, by one automaton over all members.
+character database (width forms, letters of other weight, kinds of blank, invisible characters, composed and combining
+accents).  Union-find makes the pairs transitive.  Texts are first spelled out: accents taken off their letters and put
+in canonical order, and each character as the first of its class; texts look the same when they are spelled
+alike.  The spelling is then rewritten from left to right, the longest pattern first, by one automaton over the
+spellings of all members, each class as its member most frequent in the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -24,15 +29,18 @@ from ..plans.lineage import cut
 
 # Letters and signs of the same shape, each group in one string.
 SAME_SHAPE = """
-AΑА BΒВ CСϹ EΕЕ FϜ GԌ HΗН IΙІӀ JЈͿ KΚКK LᏞ MΜМ NΝ OΟОՕ PΡР QԚ SЅՏ TΤТ WԜ XΧХ YΥҮ ZΖ
+AΑА BΒВ CСϹ EΕЕ FϜ GԌ HΗН IΙІӀ JЈͿ KΚКK MΜМ NΝ OΟОՕ PΡР QԚ SЅՏ TΤТ WԜ XΧХ YΥҮ ZΖ
 aаɑ cсϲ dԁ eе gɡ hһ iі jјϳ lӏ oοоօ pр qԛ sѕ uս vνѵ wԝ xх yуү
 ÄӒ äӓ ËЁ ëё ÏЇ ïї ÖӦ öӧ ĂӐ ăӑ ĔӖ ĕӗ ÈЀ èѐ ÆӔ æӕ ƏӘ əә
+AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ SᏚ TᎢ VᏙ WᎳ ZᏃ
+|∣ǀ /⁄∕ :∶ !ǃ *∗ ~∼ Δ∆
 μµ ΩΩ ÅÅ βϐ ‐‑- ·‧∙⋅· ;; ʹʹ ΓГ ΠП ΦФ
 """
 # Characters without a glyph beside those of the category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 
-MARKS = (0x0300, 0x036F)
+# Styles of letters that change their shape.
+OTHER_SHAPE = ("ITALIC", "SCRIPT", "FRAKTUR", "DOUBLE-STRUCK")
 
 
 class UnionFind:
@@ -79,6 +87,10 @@ def look_alikes() -> list[list[str]]:
         parts = unicodedata.decomposition(c).split()
         if parts and parts[0] in ("<wide>", "<narrow>"):
             u.union(c, chr(int(parts[1], 16)))
+        elif parts and parts[0] == "<font>" and len(parts) == 2 and unicodedata.name(c, "").startswith("MATHEMATICAL") and not any(w in unicodedata.name(c) for w in OTHER_SHAPE):
+            u.union(c, chr(int(parts[1], 16)))
+        elif parts and parts[0] == "<compat>" and len(parts) == 2 and "ROMAN NUMERAL" in unicodedata.name(c, ""):
+            u.union(c, chr(int(parts[1], 16)))
         elif parts and not parts[0].startswith("<"):
             whole = unicodedata.normalize("NFD", c)
             if len(parts) == 1:
@@ -96,12 +108,42 @@ def look_alikes() -> list[list[str]]:
             u.union(c, b + marks)
             if len(marks) == 1 and (one := unicodedata.normalize("NFC", b + marks)) and len(one) == 1:
                 u.union(c, one)
-        if len(marks) > 1:  # the letter with some of its accents composed
-            for k in range(1, len(marks)):
-                u.union(c, unicodedata.normalize("NFC", base + marks[:k]) + marks[k:])
     return u.classes()
 
 
+class Speller:
+    """Spells texts so that those that look the same are spelled alike."""
+
+    def __init__(self):
+        self.classes = look_alikes()
+        own: dict[str, str] = {}
+        for members in self.classes:
+            singles = [m for m in members if len(m) == 1 and len(unicodedata.normalize("NFD", m)) == 1]
+            plain = [m for m in singles if not unicodedata.combining(m)]
+            first = "" if "" in members else min(plain or singles, default=None)
+            own |= {m: first for m in singles if first is not None and m != first}
+        self.table = str.maketrans(own)
+        self.invisible = frozenset(m for m, t in own.items() if not t)
+        #: spelling of each member but the invisible ones, and the members of each spelling
+        self.members: dict[str, list[str]] = {}
+        for members in self.classes:
+            for m in members:
+                if m and (spelled := self(m)):
+                    self.members.setdefault(spelled, []).append(m)
+
+    def __call__(self, text: str) -> str:
+        # a character may stand for an accent, so the order is made again
+        return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(self.table))
+
+
+@lru_cache(maxsize=1)
+def speller() -> Speller:
+    return Speller()
+
+
+_HANGUL = re.compile("[\u1100-\u11ff]+")
+
+
 @dataclass
 class Rewriter:
     """Rewrites every member of a class to the member that is most frequent by ``counts``; picklable."""
@@ -112,21 +154,20 @@ class Rewriter:
         self._build()
 
     def _build(self):
+        spell = speller()
         self.to: dict[str, str] = {}
-        for members in look_alikes():
-            best = "" if "" in members else min(members, key=lambda m: (-self.counts.get(m, 0), len(m), m))
-            self.to |= {m: best for m in members if m}
-        self.deleted = str.maketrans({m: None for m, t in self.to.items() if not t})
         patterns = ahocorasick.Automaton()
-        for m, t in self.to.items():
-            # members that stay are patterns too, so that a longer one is not rewritten in part
-            if t and not (len(m) == 1 and m == t):
-                patterns.add_word(m, (len(m), t))
+        stays = set()
+        for spelled, members in spell.members.items():
+            best = min(members, key=lambda m: (-self.counts.get(m, 0), len(m), m))
+            self.to |= dict.fromkeys(members, best)
+            stays.add(best)
+            patterns.add_word(spelled, (len(spelled), best))
         patterns.make_automaton()
         self.patterns = patterns
-        self.invisible = frozenset(m for m, t in self.to.items() if not t)
-        # a text without any of these stays as it is
-        self.changing = frozenset(c for m, t in self.to.items() if m != t for c in (m[1:] or m))
+        # a text of none of these stays as it is: members that change, accents, and what is taken apart in spelling
+        self.ascii_stays = all(self.to.get(chr(n), chr(n)) == chr(n) and chr(n) not in spell.invisible for n in range(128))
+        self.changing = frozenset(m for m, t in self.to.items() if len(m) == 1 and m != t) | spell.invisible | (_taken_apart()[1] - stays) | _taken_apart()[0] | {c for spelled in spell.members for c in spelled[1:]}
 
     def __getstate__(self):
         return {"counts": self.counts}
@@ -137,11 +178,9 @@ class Rewriter:
 
     def __call__(self, text: str) -> str:
         """``text`` in the one form of all texts that look like it."""
-        used = set(text)
-        if self.changing.isdisjoint(used):
+        if text.isascii() and self.ascii_stays or self.changing.isdisjoint(set(text)):
             return text
-        if not self.invisible.isdisjoint(used):
-            text = text.translate(self.deleted)
+        text = speller()(text)
         out, at = [], 0
         for end, (size, to) in self.patterns.iter_long(text):
             begin = end + 1 - size
@@ -149,29 +188,48 @@ class Rewriter:
                 out.append(text[at:begin])
             out.append(to)
             at = end + 1
-        if not out:
-            return text
         out.append(text[at:])
-        return "".join(out)
+        text = "".join(out)
+        return _HANGUL.sub(lambda m: unicodedata.normalize("NFC", m[0]), text) if _HANGUL.search(text) else text
+
+
+@lru_cache(maxsize=1)
+def _taken_apart() -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that spelling may put in order or together, and those that it takes apart."""
+    every = [chr(n) for n in range(sys.maxunicode + 1) if not 0xD800 <= n <= 0xDFFF]
+    ordered = frozenset(c for c in every if unicodedata.combining(c) or 0x1100 <= ord(c) <= 0x11FF)
+    return ordered, frozenset(c for c in every if not 0xAC00 <= ord(c) <= 0xD7A3 and unicodedata.normalize("NFD", c) != c)
+
+
+@lru_cache(maxsize=1)
+def _clusters() -> tuple[re.Pattern, frozenset[str]]:
+    """A pattern of a character and the accents after it, and the members of more than one code point."""
+    members = frozenset(m for c in look_alikes() for m in c if len(m) > 1)
+    after = "".join(sorted({c for m in members for c in m[1:]}))
+    return re.compile(f"[^{re.escape(after)}][{re.escape(after)}]+"), members
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Uses of each class member of one code point, or of a letter and a combining accent, over the batches."""
-    members = {m for c in look_alikes() for m in c if 0 < len(m) <= 2}
+    """Uses of each class member over the batches; of a letter with accents, of the letter with each number of them."""
     singles = np.zeros(sys.maxunicode + 1, np.int64)
-    pairs: dict[int, int] = {}
+    longer: Counter[str] = Counter()
+    known = {m for c in look_alikes() for m in c if len(m) == 1}
+    pattern, members = _clusters()
+    after = frozenset(c for m in members for c in m[1:])
     for b in batches:
         texts = [t for t in b.column(0).to_pylist() if t]
         for i in range(0, len(texts), 256):
-            code = np.frombuffer("\n".join(texts[i : i + 256]).encode("utf-32-le", "replace"), np.uint32)
+            joined = "\n".join(texts[i : i + 256])
+            code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
             low = np.bincount(code, minlength=0)
             singles[: len(low)] += low
-            mark = np.flatnonzero((code[1:] >= MARKS[0]) & (code[1:] <= MARKS[1]))
-            for k, n in zip(*np.unique(code[mark].astype(np.int64) << 32 | code[mark + 1], return_counts=True)):
-                pairs[int(k)] = pairs.get(int(k), 0) + int(n)
-    counts = {chr(i): int(singles[i]) for i in np.flatnonzero(singles) if not 0xD800 <= i <= 0xDFFF}
-    counts |= {chr(k >> 32) + chr(k & 0xFFFFFFFF): n for k, n in pairs.items()}
-    counts = {m: n for m, n in counts.items() if m in members}
+            if not after.isdisjoint(map(chr, np.flatnonzero(low))):
+                for cluster, n in Counter(pattern.findall(joined)).items():
+                    for size in range(2, len(cluster) + 1):
+                        if cluster[:size] in members:
+                            longer[cluster[:size]] += n
+    counts = {c: int(singles[i]) for i in np.flatnonzero(singles) if not 0xD800 <= i <= 0xDFFF and (c := chr(i)) in known}
+    counts |= longer
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["s", "n"])
 
 
@@ -231,6 +289,17 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     return a.join(b, "look").filter("a < b and __oa <> __ob").select("a", "b").distinct()
 
 
+def same_look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, class, copies, forms``: a row a text that isn't blank, the least key of those that look like it, how many these are, and how many different texts they have.
+
+    Nothing is expanded: the texts that look the same are counted before they are joined back.
+    """
+    m = cut(_marks(df, key, text))
+    texts = m.groupBy("look", "own").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    per = texts.groupBy("look").agg(F.min("first").alias("class"), F.sum("n").alias("copies"), F.count("*").alias("forms"))
+    return m.join(per, "look").select(F.col("key").alias(key), "class", "copies", "forms")
+
+
 def found(documents: DataFrame) -> DataFrame:
     """``doc_id_a, doc_id_b``: documents that look the same without being the same."""
     return same_look_pairs(documents, "doc_id", "text").withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
