@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 CELL_LEVEL = 12
 #: Levels between the cells of one tier and those of the next; limits are within so many bits.
 TIER, BITS = 17, 60
@@ -129,7 +131,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, cell_l
         .withColumn("__local", merge_cell(c))
         .select("key", F.expr("inline(transform(__local, r -> struct(__off + r.s as s, __off + r.e as e)))"))
     )
-    level, items, out = c, runs.withColumn("inner", F.lit(False)), None
+    # the runs and the long blocks are read by every tier
+    level, items, high, out = c, cut(runs.withColumn("inner", F.lit(False))), cut(high), None
     while True:
         up = min(level + TIER, TOP)
         blocks = high.filter((F.col("k") >= level) & (F.col("k") < up)).select("key", F.expr("shiftleft(i, k)").alias("s"), F.expr("shiftleft(i + 1, k)").alias("e"), F.lit(False).alias("inner"))
