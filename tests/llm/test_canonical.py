@@ -73,3 +73,33 @@ def test_rows(spark):
     assert [tuple(r) for r in c.misses(curves, ref).collect()] == [("?", "?", 1)]
     none, no_ref = spark.createDataFrame([], CURVES), spark.createDataFrame([], SCHEMA)
     assert c.found(none, ref).count() == 0 and {r.ref_id for r in c.found(curves, no_ref).collect()} == {0}
+
+
+def test_slips_in_codes():
+    d = c.Dictionary.build([r[:3] for r in REF], {1: 10, 2: 5})
+    cases = {"GRR": 1, "RHBO": 3, "NPHII": 4, "CALLI": 6, "NPHA": 4, "PFE": 7, "CCL": 0, "PXF": 0, "GX": 0, "G": 0, "MSFX": 0}
+    assert {k: d.entry(k, None)[0] for k in cases} == cases
+    assert d.entry("GRR", "bulk density")[:2] == (3, "name title")  # a title counts before a slip
+
+
+def test_use_counts_beside_cost():
+    entries = [(1, "AX", "Alpha Stone"), (2, "AY", "Alpha Stong")]
+    assert c.Dictionary.build(entries, {2: 100_000}).entry("alpha stonee", None)[0] == 1  # half an edit is more than any use
+    assert c.Dictionary.build(entries, {2: 9}).entry("alpha stonx", None)[0] == 2
+
+
+def test_many_titles_visit_few(monkeypatch):
+    words = [a + b for a in ("ar", "bel", "cor", "dun", "eth") for b in ("ami", "osto", "ulek", "ithar", "emund")]
+    entries = [(i, f"C{i}", f"{a} {b} {w}") for i, (a, b, w) in enumerate((a, b, w) for a in words[:10] for b in words[10:20] for w in words[20:])]
+    d = c.Dictionary.build(entries, {})
+    assert all(d.entry(None, t.upper().replace("AMI", "AIM"))[0] == i for i, _, t in entries[:200])
+    assert max(map(len, d.places.values())) < len(entries) // 4
+
+
+def test_a_long_list_is_taken_in_parts(spark, monkeypatch):
+    typed = [(i, m, n, "z", 1) for i, (m, n) in enumerate([("LWD:GR", None), ("GR SGR", None), ("", "sectral gama ray"), ("blk dnsty", None), ("?", "Micro-spher. Foc. Log"), ("GRR", "?"), ("CCL", "Casing Collar Locator"), (None, None), ("GR NPHI", "Caliper"), ("PEF", "GR")])]
+    curves, ref = spark.createDataFrame(typed * 2, CURVES), spark.createDataFrame(REF, SCHEMA)
+    whole = sorted(map(tuple, c.map_curves(curves, ref).collect()), key=repr)
+    monkeypatch.setattr(c, "PART", 2)
+    assert len(list(c.dictionaries(curves, ref))) == 4
+    assert sorted(map(tuple, c.map_curves(curves, ref).collect()), key=repr) == whole and len(whole) == 20
