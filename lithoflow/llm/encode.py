@@ -7,6 +7,10 @@ its target without the arc ``v``, so ``u`` then ``v`` is no longer accepted.  Al
 state, so a state is its token; states are kept copy-on-write, as the merge that took an arc away.  Of each
 prefix of a word exactly one token sequence is accepted, so a forward pass over the word's bytes needs to keep
 one state a position.  Decoding emits the labels of the arcs.
+
+Written out, the arcs of 50,257 states would be some 2.5e9, nearly all pairs of tokens, so those are kept as the times at which
+merges gave and took them, and an arc is worked out when it is first followed.  The transitions over bytes are a
+table: one goto and failure automaton of all labels, which yields at each byte the tokens that end there.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -54,10 +59,17 @@ class Automaton:
             self._gadget(ids[u], ids[v], ids[u + v], time)
         known = {i for i in self.label if len(self.label[i]) == 1} | set(self.born)
         self.ids = {self.label[i]: i for i in known}
-        self.longest = max(map(len, self.ids), default=0)
+        self._compile()
         self._arcs: dict[tuple[int, int], bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
 
+    def _compile(self) -> None:
+        """The table of transitions over bytes."""
+        self._table = ahocorasick.Automaton()
+        for label, i in self.ids.items():
+            self._table.add_word(label.decode("latin-1"), (len(label), i))
+        self._table.make_automaton()
+
     def _gadget(self, u: int, v: int, w: int, time: int) -> None:
         if w in self.born:
             return
@@ -98,13 +110,12 @@ class Automaton:
             return (whole,)
         n = len(data)
         last = [-1] * (n + 1)
-        get, accepts, longest = self.ids.get, self.accepts, self.longest
-        for end in range(1, n + 1):
-            for size in range(min(end, longest), 0, -1):
-                token = get(data[end - size : end])
-                if token is not None and (size == end or accepts(last[end - size], token)):
-                    last[end] = token
-                    break
+        accepts = self.accepts
+        # of the tokens that end at a byte, exactly one follows the state before it
+        for at, (size, token) in self._table.iter(data.decode("latin-1")):
+            end = at + 1
+            if last[end] < 0 and (size == end or accepts(last[end - size], token)):
+                last[end] = token
         out = []
         while n:
             out.append(last[n])
@@ -132,7 +143,11 @@ class Automaton:
         return b"".join(self.label[i] for i in ids).decode("utf-8", "replace")
 
     def __getstate__(self):
-        return self.__dict__ | {"_arcs": {}, "_words": {}}
+        return self.__dict__ | {"_arcs": {}, "_words": {}, "_table": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._compile()
 
 
 _split = regex.compile(PATTERN).findall
@@ -140,7 +155,7 @@ _COMPILED: dict[str, Automaton] = {}
 
 
 def automaton(path: str = TOKENIZER) -> Automaton:
-    """The automaton of the vocabulary file, compiled once a process."""
+    """The automaton of the vocabulary file, compiled once; executors are sent the compiled one."""
     if path not in _COMPILED:
         _COMPILED[path] = Automaton(path)
     return _COMPILED[path]
@@ -150,11 +165,12 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> D
     """``key, ids``: the token ids of each text, without special tokens, whose strings are ordinary text.
 
     Null and empty texts have an empty list.  Texts are taken whole, equal rows each for itself.  ``path`` is
-    the vocabulary file, which every executor can read; its size bounds the automaton.
+    the vocabulary file, which only the driver reads; its size bounds the automaton that is sent to the executors.
     """
+    shared = df.sparkSession.sparkContext.broadcast(automaton(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = shared.value
         for b in batches:
             ids = [np.array(a.encode(t), dtype=np.int32) for t in b.column(1).to_pylist()]
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
@@ -167,9 +183,10 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> D
 
 def decode_ids(df: DataFrame, key: str, ids: str, path: str = TOKENIZER) -> DataFrame:
     """``key, text`` of lists of ids; a null list gives null."""
+    shared = df.sparkSession.sparkContext.broadcast(automaton(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = shared.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else a.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["key", "text"])
 

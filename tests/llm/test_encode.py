@@ -58,3 +58,63 @@ def test_rows(spark, reference):
     ab = tuple(reference.encode_ordinary("a b"))
     assert got[:4] == [("", ()), ("e", ()), ("k", ab), ("k", ab)] and len(got[4][1]) == 50_001
     assert e.encode_texts(df.limit(0), "doc_id", "text").count() == 0
+
+
+def written_out(merges, letters):
+    """The gadgets carried out on explicit states with explicit arcs: of each token, the tokens its state accepts."""
+    arcs, target = [{c: 0 for c in letters}], {c: 0 for c in letters}
+    for u, v in merges:
+        w, old = u + v, target[u]
+        if w in target or v not in arcs[old]:
+            continue
+        arcs.append({k: t for k, t in arcs[old].items() if k != v})
+        copy, after = len(arcs) - 1, arcs[old][v]
+        for state in arcs:
+            if u in state:
+                state[w] = after
+                state[u] = copy
+        target[u], target[w] = copy, after
+    return {token: set(arcs[t]) for token, t in target.items()}
+
+
+def vocabulary(tmp_path, merges, letters):
+    import json
+
+    tokens = list(dict.fromkeys([*letters, *(u + v for u, v in merges)]))
+    path = tmp_path / f"{len(merges)}-{hash(tuple(merges))}.json"
+    path.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [list(m) for m in merges]}}))
+    return e.Automaton(str(path)), tokens
+
+
+def test_arcs_are_those_of_the_gadgets_for_every_pair_of_tokens(tmp_path):
+    import json
+    import random
+
+    with open(e.TOKENIZER, encoding="utf-8") as f:
+        real = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.load(f)["model"]["merges"][:250]]
+    lists = [(real, sorted({c for m in real for t in m for c in t}))]
+    r = random.Random(7)
+    for _ in range(60):
+        tokens, merges = list("abc"), []
+        for _ in range(r.randint(3, 14)):
+            u, v = r.choice(tokens), r.choice(tokens)
+            # a merge of tokens that never stand side by side by then makes none
+            if u + v not in tokens and len(u + v) < 9 and v in written_out(merges, "abc")[u]:
+                merges.append((u, v))
+                tokens.append(u + v)
+        lists.append((merges, list("abc")))
+    for merges, letters in lists:
+        want = written_out(merges, letters)
+        a, tokens = vocabulary(tmp_path, merges, letters)
+        of = dict(zip(tokens, range(len(tokens))))
+        for u in want:
+            assert {v for v in want if a.accepts(of[u], of[v])} == want[u], (merges, u)
+
+
+def test_executors_do_not_read_the_file(spark, tmp_path):
+    merges = [("a", "b"), ("ab", "c")]
+    _, tokens = vocabulary(tmp_path, merges, list("abc"))
+    path = next(tmp_path.glob("2-*.json"))
+    df = e.encode_texts(spark.createDataFrame([(1, "abcab"), (2, None)], "doc_id bigint, text string"), "doc_id", "text", str(path))
+    path.unlink()
+    assert {r.doc_id: r.ids for r in df.collect()} == {1: [4, 3], 2: []}
