@@ -6,8 +6,9 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .operators import search
-from .plans import models
+from .operators import documents, retrieval, search
+from .plans import models, pipelines
+from .plans.retrieval_queries import image_links
 from .sources.tables import table
 
 
@@ -15,7 +16,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lithoflow", description="Search chunks of geological documents.")
     p.add_argument("root", help="folder of the tables")
     p.add_argument("-q", "--query", default="")
-    p.add_argument("-t", "--type", choices=["all", "text", "image", "geo", "page", "find-images", "list-images", "stats"], default="all")
+    p.add_argument("-t", "--type", choices=["all", "text", "image", "geo", "page", "combined", "find-images", "ask-image", "list-images", "stats"], default="all")
+    p.add_argument("-i", "--image", default="", help="the image that ask-image is about")
     p.add_argument("-m", "--max", type=int, default=10)
     p.add_argument("-s", "--threshold", type=float, default=search.DEFAULTS.moderate)
     return p
@@ -29,7 +31,7 @@ def run(spark: SparkSession, argv: list[str] | None = None):
     if a.type == "stats":
         return search.collection_counts(chunks)
     if a.type == "list-images":
-        return table(spark, a.root, "images").groupBy("page_number").count().orderBy("page_number")
+        return documents.images_per_page(table(spark, a.root, "images")).orderBy("page_number")
     if not a.query:
         raise SystemExit("a query is needed")
     if a.type == "page":
@@ -37,10 +39,13 @@ def run(spark: SparkSession, argv: list[str] | None = None):
     if a.type == "geo":
         return search.search_by_concepts(chunks, [t.strip() for t in a.query.split(",")], vector, a.max)
     if a.type == "find-images":
-        return search.images_for(chunks, table(spark, a.root, "images"), a.query, vector, a.max)
-    kinds = {"text": ["text", "combined", "geological_keyword"], "image": ["image_description"]}
-    if a.type in kinds:
-        return search.search_by_type(chunks, a.query, vector, kinds[a.type], a.max)
+        images = table(spark, a.root, "images")
+        known = frozenset(r.term for r in retrieval.learned_vocabulary(chunks).select("term").collect())
+        return retrieval.images_by_concept(chunks, images, image_links(chunks, images), a.query, vector, a.max, known)
+    if a.type == "ask-image":
+        return pipelines.analyzed_image(chunks, table(spark, a.root, "images"), a.image, a.query)
+    if a.type in ("text", "image", "combined"):
+        return retrieval.by_kind(chunks, a.query, vector, a.type, a.max)
     return search.search_all(chunks, a.query, vector, a.max, a.threshold)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -89,6 +89,49 @@ def explanation(caption: Column, interpretation: Column, concepts: Column, scann
     return F.when(parts != "", parts).otherwise("No explanation without a closer analysis.")
 
 
+# Words of a question and what it asks about, in order.
+ASKED = [
+    ("what|describe|explain", "content"), ("pattern|signature|shape", "pattern"), ("environment|depositional", "environment"),
+    ("sequence|stratigraphy|systems tract", "sequence"), ("log|curve|gamma ray|resistivity", "logs"),
+]
+# The concepts that tell of each.
+ENVIRONMENT_CONCEPTS = ["marine", "fluvial", "deltaic", "aeolian"]
+SEQUENCE_CONCEPTS = ["LST", "TST", "HST", "SB", "MFS", "TS"]
+LOG_CONCEPTS = ["gamma ray", "resistivity", "neutron", "density", "SP"]
+
+
+def asked_about(question: Column) -> Column:
+    """What a question asks about: content, pattern, environment, sequence, logs or, if none of these, general."""
+    return tx.first_match(F.lower(question), ASKED, "general")
+
+
+def explained(question: Column, caption: Column, interpretation: Column, concepts: Column, scanned: Column, pattern: Column) -> Column:
+    """An answer to a question about an image, from what is known of it, by what the question asks about."""
+    said, about = F.coalesce(interpretation, F.lit("")), asked_about(question)
+    tells = F.coalesce(concepts, F.array().cast("array<string>"))
+    some = lambda known: F.filter(tells, lambda c: c.isin(known))
+    named = lambda known: F.array_join(some(known), ", ")
+    or_else = lambda text: F.when(said != "", said).otherwise(F.lit(text))
+    kind = F.coalesce(pattern, F.lit("unknown"))
+    shape = (
+        F.when(kind == "well_log", F.concat(F.lit("Well log patterns. "), or_else("They tell of the deposition.")))
+        .when(kind == "sequence_stratigraphy", F.concat(F.lit("Sequence stratigraphic patterns. "), or_else("They show systems tracts and sequence boundaries.")))
+        .otherwise(F.concat(F.lit("Geological pattern type: "), kind, F.lit(". "), or_else("It needs a closer analysis.")))
+    )
+    place = (
+        F.when(said.rlike("environment|depositional"), said)
+        .when(F.size(some(ENVIRONMENT_CONCEPTS)) > 0, F.concat(F.lit("It relates to a depositional environment: "), named(ENVIRONMENT_CONCEPTS), F.lit(".")))
+        .otherwise("Depositional features stand in the patterns.")
+    )
+    sequence = F.when(F.size(some(SEQUENCE_CONCEPTS)) > 0, F.concat(F.lit("Sequence stratigraphic elements: "), named(SEQUENCE_CONCEPTS), F.lit(". "), or_else("They are phases of sea level and supply."))).otherwise(or_else("A framework of systems tracts and key surfaces."))
+    logs = (
+        F.when(said.rlike("log|curve"), said)
+        .when(F.size(some(LOG_CONCEPTS)) > 0, F.concat(F.lit("Well log types: "), named(LOG_CONCEPTS), F.lit(".")))
+        .otherwise("Well log patterns of certain rock properties.")
+    )
+    return F.when(about == "pattern", shape).when(about == "environment", place).when(about == "sequence", sequence).when(about == "logs", logs).otherwise(explanation(caption, said, concepts, scanned))
+
+
 def is_specific(query: str, known: set[str]) -> bool:
     """Whether a query is a proper name or another term the vocabulary doesn't know."""
     q = query.strip()
@@ -140,10 +183,9 @@ def resolve_image(images: DataFrame, name: str) -> DataFrame:
     return images.withColumn("__r", rank).filter("__r is not null").orderBy("__r", "id").limit(1).drop("__r")
 
 
-def options(results: DataFrame, group: str, rank: str) -> DataFrame:
-    """Numbered choices over groups of results: ``number, label``, the content's beginning or a default."""
-    from pyspark.sql import Window
-
+def options(results: DataFrame, group: str, rank: str, most: int = 100) -> DataFrame:
+    """Numbered choices over groups of results: ``number, label``, the content's beginning or a default; the first ``most``, as a list to choose from."""
+    results = results.orderBy(group, rank).limit(most)
     n = F.row_number().over(Window.orderBy(group, rank))
     label = F.when(F.length(F.trim("content")) > 0, F.substring("content", 1, 100)).otherwise("no description")
     return results.withColumn("number", n).select("number", group, F.format_string("%d. %s", "number", label).alias("label"))

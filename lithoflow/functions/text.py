@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
@@ -98,6 +100,23 @@ def caption_in(text: Column) -> Column:
     return F.coalesce(*[F.when(x != "", F.trim(x)) for x in found])
 
 
+def caption_of(around: Column, below: Column) -> Column:
+    """The caption named in the text around an image, else what stands below it if that is short, else the empty text."""
+    under = F.trim(below)
+    return F.coalesce(caption_in(around), F.when(F.length(under) < 200, under), F.lit(""))
+
+
+def first_terms(terms: Column, most: int = 3) -> Column:
+    """The first ``most`` of a list, and how many more there are."""
+    kept = F.array_join(F.slice(terms, 1, most), ", ")
+    return F.when(F.size(terms) > most, F.concat(kept, F.format_string(" (+%d more)", F.size(terms) - most))).otherwise(kept)
+
+
+def result_line(content: Column, page: Column, score: Column, terms: Column, width: int = 200) -> Column:
+    """A search result in one line: page, score to three places, shortened content, first terms."""
+    return F.concat_ws(" | ", F.format_string("Page %d", F.coalesce(page, F.lit(0))), F.format_string("%.3f", score), shortened(F.regexp_replace(content, WS + "+", " "), width), F.nullif(first_terms(terms), F.lit("")))
+
+
 def shortened(text: Column, n: int) -> Column:
     """``text``, or its first ``n`` characters and three points."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
@@ -118,7 +137,7 @@ def visual_indicators(red: Column, green: Column, blue: Column, width: Column, h
     return F.array_compact(F.array(
         F.when((red > green) & (red > blue), F.lit("reddish_coloration")), F.when(spread < 20, F.lit("grayscale_pattern")),
         F.when(ratio > 3, F.lit("horizontal_log_pattern")).when(ratio < 0.5, F.lit("vertical_log_pattern")),
-        F.when(low.rlike("gr"), F.lit("gamma_ray_log")), F.when(low.rlike("gamma ray") & ~low.rlike("gr"), F.lit("gamma_ray_log")),
+        F.when(low.rlike("gamma ray|gr"), F.lit("gamma_ray_log")),
         F.when(low.rlike("resistivity"), F.lit("resistivity_log")), F.when(low.rlike("sequence"), F.lit("sequence_stratigraphic_content")),
     ))
 
@@ -180,3 +199,13 @@ def analysis_confidence(question: Column, content: Column, description: Column,
     around = F.when(F.length(context) > 100, 0.8).when(F.length(context) > 50, 0.6).otherwise(0.5)
     whole = F.when((F.length(analysis) > 200) & (F.size(terms_in(analysis, low)) > 0), 0.9).when(F.length(analysis) > 100, 0.8).otherwise(0.7)
     return quality * 0.20 + alignment * 0.25 + F.least(technical, F.lit(1.0)) * 0.20 + around * 0.15 + whole * 0.20
+
+
+def term_words(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """``key, term``: those of the terms of one word that stand in a text as whole words, in lower case, each once a row.
+
+    A text is split into its words, which are looked up, so the work doesn't grow with the list.  Null texts hold none.
+    """
+    single = sorted({t.lower() for t in terms if re.fullmatch(r"[^\W_]+", t)})
+    found = F.array_intersect(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))), literals(single))
+    return df.select(key, F.explode(found).alias("term")).distinct()

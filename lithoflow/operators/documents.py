@@ -137,3 +137,8 @@ def extraction_summary(blocks: DataFrame, images: DataFrame) -> DataFrame:
     counts = x.groupBy("source_file").agg(F.count_distinct("page_number").alias("pages"), F.sum("b").alias("blocks"), F.sum("i").alias("images"), F.array_join(F.array_sort(F.collect_set("kind")), ", ").alias("kinds"))
     terms = x.select("source_file", F.explode("terms").alias("t")).groupBy("source_file").agg(F.count_distinct("t").alias("terms"))
     return counts.join(terms, "source_file", "left").withColumn("terms", F.coalesce("terms", F.lit(0)))
+
+
+def images_per_page(images: DataFrame) -> DataFrame:
+    """``page_number, count``: how many images each page number has."""
+    return images.groupBy("page_number").count()

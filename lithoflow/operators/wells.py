@@ -234,8 +234,12 @@ def systems_tracts(found: DataFrame) -> DataFrame:
     return found.withColumn("tract", tract).filter("tract is not null")
 
 
-def log_summary(samples: DataFrame, least: float = 0.7) -> DataFrame:
-    """A line of text for each curve better than ``least``: mnemonic, least, greatest and mean value."""
+def log_summary(samples: DataFrame, least: float = 0.7, units: bool = False) -> DataFrame:
+    """A line of text for each curve better than ``least``: mnemonic, least, greatest and mean value, and, if asked for, the unit."""
     good = curve_quality(samples).filter(F.col("quality") > least).select("curve_id")
     g = readings(samples).join(good, "curve_id").groupBy("curve_id").agg(F.max("mnemonic").alias("mnemonic"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
-    return g.filter("lo is not null").select("curve_id", F.format_string("%s: %.1f to %.1f (avg: %.1f)", F.coalesce(F.col("mnemonic"), F.lit("")), *[F.round(F.round(c, 6), 1) + 0.0 for c in ("lo", "hi", "mean")]).alias("line"))
+    line = F.format_string("%s: %.1f to %.1f (avg: %.1f)", F.coalesce(F.col("mnemonic"), F.lit("")), *[F.round(F.round(c, 6), 1) + 0.0 for c in ("lo", "hi", "mean")])
+    if units:
+        unit = samples.groupBy("curve_id").agg(F.max("unit").alias("unit"))
+        g, line = g.join(unit, "curve_id", "left"), F.rtrim(F.concat_ws(" ", line, F.trim("unit")))
+    return g.filter("lo is not null").select("curve_id", line.alias("line"))

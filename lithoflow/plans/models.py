@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], np.ndarray]
 LanguageModel = Callable[[str], str]
+#: Of the path of an image and a question, what it shows.
+VisionModel = Callable[[str, str], str]
 
 DIM = 384
 _WORD = re.compile(r"\w+")
@@ -50,3 +52,37 @@ def no_model(prompt: str) -> str:
     """Stands in for a language model: says nothing."""
     del prompt
     return ""
+
+
+def no_vision(path: str, question: str) -> str:
+    """Stands in for a model that sees: says nothing."""
+    del path, question
+    return ""
+
+
+def replied(model: LanguageModel, prompt: str) -> str:
+    """The model's reply, or that it failed and why: one prompt doesn't end a job."""
+    try:
+        return model(prompt)
+    except Exception as error:  # noqa: BLE001
+        return f"Error: {error}"
+
+
+def with_replies(prompts: DataFrame, model: LanguageModel, prompt: str = "prompt") -> DataFrame:
+    """``prompts`` with ``reply``; the model is asked on the executors, a prompt a row, null for a null one."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(prompt)).to_pylist()
+            replies = pa.array([None if t is None else replied(model, t) for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, replies], names=[*b.schema.names, "reply"])
+
+    x = prompts.drop("reply")
+    return x.mapInArrow(run, x.schema.add("reply", "string"))
+
+
+def seen(model: VisionModel, path: str, question: str, context: str | None, ask: LanguageModel = no_model) -> tuple[str, float]:
+    """What an image shows and how sure that is: a language model's words on what the vision model sees, if they are any good (0.8), else the latter (0.4)."""
+    shown = replied(lambda q: model(path, q), question)
+    better = replied(ask, f"Image: {shown}\nContext: {context or ''}\nQuestion: {question}\nAnswer in two or three sentences by the context alone.")
+    return (better, 0.8) if len(better) > 50 and not better.startswith("Error: ") else (shown, 0.4)

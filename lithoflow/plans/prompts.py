@@ -11,6 +11,7 @@ from ..functions import vocab
 # What each kind of prompt asks for.
 TASKS = {
     "comprehensive": ["the log patterns and the processes that made them", "systems tracts and key surfaces", "the depositional environment", "reservoir and seal", "confidence and its evidence", "recommendations"],
+    "pattern": ["what the shape means", "the grain sizes and contacts it stands for", "where such a pattern forms"],
     "patterns": ["each pattern's shape, contacts and lithology", "the processes behind it"],
     "sequence": ["systems tracts", "key surfaces", "relative sea level"],
     "environment": ["the likeliest environment", "energy and water depth", "sediment supply"],

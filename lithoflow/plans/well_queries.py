@@ -40,6 +40,7 @@ QUERIES = {
     "pattern_summary": lambda spark, d: rounded(wells.pattern_summary(wells.resolve_overlaps(wells.patterns(table(spark, d, "curve_samples"))))),
     "systems_tracts": lambda spark, d: rounded(wells.systems_tracts(wells.resolve_overlaps(wells.patterns(table(spark, d, "curve_samples"))))),
     "log_summary": _on(wells.log_summary, "curve_samples"),
+    "log_summary_units": _on(wells.log_summary, "curve_samples", units=True),
 }
 
 _READINGS = """
@@ -155,4 +156,8 @@ SELECT well_id, kind, curve_id, row_number() OVER (PARTITION BY well_id ORDER BY
     "systems_tracts": f"{_ALL} SELECT {_OUT}, CASE type WHEN 'funnel' THEN 'LST/Forced Regression' WHEN 'bell' THEN 'TST' ELSE 'HST/LST Channel' END AS tract FROM d WHERE type IN ('funnel', 'bell', 'boxcar')",
     "log_summary": f"""WITH {_QUALITY} SELECT curve_id, format('{{}}: {{}} to {{}} (avg: {{}})', coalesce(max(r.mnemonic), ''), {_one('min(v)')}, {_one('max(v)')}, {_one('avg(v)')}) AS line
 FROM r JOIN (SELECT curve_id FROM q WHERE quality > 0.7) USING (curve_id) GROUP BY curve_id HAVING min(v) IS NOT NULL""",
+    "log_summary_units": f"""WITH {_QUALITY}, u AS (SELECT curve_id, max(unit) AS unit FROM curve_samples GROUP BY curve_id),
+s AS (SELECT curve_id, format('{{}}: {{}} to {{}} (avg: {{}})', coalesce(max(r.mnemonic), ''), {_one('min(v)')}, {_one('max(v)')}, {_one('avg(v)')}) AS line
+FROM r JOIN (SELECT curve_id FROM q WHERE quality > 0.7) USING (curve_id) GROUP BY curve_id HAVING min(v) IS NOT NULL)
+SELECT curve_id, rtrim(line || ' ' || coalesce(trim(unit, ' '), ''), ' ') AS line FROM s LEFT JOIN u USING (curve_id)""",
 }

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.wells import DEPTH_MNEMONICS
+
 # The header mnemonics of a well's columns.
 WELL_COLUMNS = {"WELL": "well_name", "UWI": "uwi", "FLD": "field", "CTRY": "country", "COMP": "operator", "API": "api_number", "LAT": "latitude", "LON": "longitude", "EKB": "kb_elevation", "EGL": "ground_elevation"}
 _NUMBERS = {"latitude", "longitude", "kb_elevation", "ground_elevation"}
@@ -77,18 +79,27 @@ def wells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
-    """One row a reading: ``path, mnemonic, unit, description, idx, depth, value``; the first curve is the depth."""
+    """One row a reading: ``path, well_id, curve_id, mnemonic, unit, description, idx, depth, value, loaded_at``, as the well operators take it.
+
+    The first curve is the depth; other depth curves are left out.  A well is known by its UWI, else its API number, its name, or
+    the file; a curve by file, place and mnemonic; a file is loaded when it was last changed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "mnemonic", "unit", "description", "idx", "depth", "value"]
-        types = [pa.string()] * 4 + [pa.int32(), pa.float64(), pa.float64()]
+        names = ["path", "loaded_at", "well_id", "place", "mnemonic", "unit", "description", "idx", "depth", "value"]
+        types = [pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.int32(), *[pa.string()] * 3, pa.int32(), pa.float64(), pa.float64()]
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _, curves, rows = parse(text)
+            for name, loaded, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                well, curves, rows = parse(text)
+                known = next((well[k] for k in ("UWI", "API", "WELL") if well.get(k)), name)
                 depth = [number(r[0]) for r in rows]
                 for k, (m, unit, _, description) in enumerate(curves[1:], 1):
+                    if m.upper() in DEPTH_MNEMONICS:
+                        continue
                     n = len(rows)
-                    cols = [[name] * n, [m] * n, [unit] * n, [description] * n, list(range(n)), depth, [number(r[k]) for r in rows]]
+                    cols = [[name] * n, [loaded] * n, [known] * n, [k] * n, [m] * n, [unit] * n, [description] * n, list(range(n)), depth, [number(r[k]) for r in rows]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return files(spark, path).mapInArrow(run, "path string, mnemonic string, unit string, description string, idx int, depth double, value double")
+    src = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("loaded_at"), F.col("value").alias("text"))
+    shape = "path string, loaded_at timestamp, well_id string, place int, mnemonic string, unit string, description string, idx int, depth double, value double"
+    return src.mapInArrow(run, shape).select("path", "well_id", F.xxhash64("path", "place", "mnemonic").alias("curve_id"), "mnemonic", "unit", "description", "idx", "depth", "value", "loaded_at")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 # The shape of an extraction result.
 EXTRACTION_SCHEMA = """
 document_info struct<title string, source_file string>,
@@ -21,6 +24,38 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     (w.option("partitionOverwriteMode", "dynamic") if mode == "overwrite" else w).parquet(path)
 
 
+def upsert_chunks(chunks: DataFrame, path: str, key: str = "id") -> None:
+    """Writes chunks into a store: rows of a known ``key`` are replaced, others added, in the collections of ``chunks``; other collections are not touched.
+
+    The new content of a collection is cut off from the old one before it takes its place.
+    """
+    spark = chunks.sparkSession
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:
+        return write_chunks(chunks, path)
+    one = chunks.dropDuplicates(["collection", key])
+    touched = one.select("collection").distinct()
+    kept = old.join(touched, "collection", "left_semi").join(one.select("collection", key), ["collection", key], "left_anti")
+    write_chunks(cut(kept.unionByName(one, allowMissingColumns=True)), path)
+
+
+def page_report(pages: DataFrame, source: str) -> DataFrame:
+    """``value``: the lines of a report on one source, from ``source_file, page_number, images, blocks, tables, keywords, summary``."""
+    p = pages.filter(F.col("source_file") == source)
+    total = p.agg(F.count("*").alias("pages"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("images", "blocks", "tables")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("keywords"))
+    head = total.select(F.lit(0).alias("part"), F.expr(f"""posexplode(concat(
+        array({", ".join(repr(x) for x in ("EXTRACTION SUMMARY", f"Document: {source}"))}, concat('Total Pages: ', pages), concat('- Total Images: ', images), concat('- Total Text Blocks: ', blocks), concat('- Total Tables: ', tables), 'KEYWORDS FOUND:'),
+        transform(keywords, k -> concat('- ', k)), array('PAGE-BY-PAGE SUMMARY:')))"""))
+    lines = p.select(F.lit(1).alias("part"), F.col("page_number").alias("pos"), F.format_string("Page %d: %s", "page_number", F.coalesce("summary", F.lit(""))).alias("col"))
+    return head.unionByName(lines).orderBy("part", "pos").select(F.col("col").alias("value"))
+
+
+def write_report(pages: DataFrame, source: str, path: str) -> None:
+    """Writes the report on one source as one text file."""
+    page_report(pages, source).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_chunks(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df if collection is None else df.filter(F.col("collection") == collection)
@@ -65,7 +100,7 @@ def image_id(page: Column, index: Column, content: Column) -> Column:
 
 
 def image_box(rectangles: Column, width: Column, height: Column) -> Column:
-    """The first rectangle of an image on its page, else all but a tenth at each side."""
+    """The first rectangle of an image on its page, else all but a tenth at each side; null where the page's size isn't known either."""
     inner = F.struct((width * 0.1).alias("x0"), (height * 0.1).alias("y0"), (width * 0.9).alias("x1"), (height * 0.9).alias("y1"))
     return F.coalesce(F.get(rectangles, F.lit(0)), inner)
 
@@ -81,7 +116,8 @@ def nearby_text(images: DataFrame, blocks: DataFrame) -> DataFrame:
 def with_enhanced(images: DataFrame, enhanced: DataFrame) -> DataFrame:
     """``images`` with the path of the enhanced file where there is one of the same name (jpeg as png)."""
     name = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"(?i)\.jpe?g$", ".png")
-    e = enhanced.select(F.element_at(F.split("path", "/"), -1).alias("__name"), F.col("path").alias("__path")).dropDuplicates(["__name"])
+    # of several of a name the first path counts
+    e = enhanced.groupBy(F.element_at(F.split("path", "/"), -1).alias("__name")).agg(F.min("path").alias("__path"))
     return images.withColumn("__n", name).join(e, F.col("__n") == F.col("__name"), "left").withColumn("file_path", F.coalesce("__path", "file_path")).select(*images.columns)
 
 
