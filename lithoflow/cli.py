@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import documents, retrieval, search
 from .plans import models, pipelines
@@ -40,7 +41,9 @@ def run(spark: SparkSession, argv: list[str] | None = None):
         return search.search_by_concepts(chunks, [t.strip() for t in a.query.split(",")], vector, a.max)
     if a.type == "find-images":
         images = table(spark, a.root, "images")
-        known = frozenset(r.term for r in retrieval.learned_vocabulary(chunks).select("term").collect())
+        # only what the query may hold of the vocabulary
+        asked = sorted({a.query.strip().lower(), *a.query.lower().split()})
+        known = frozenset(r.term for r in retrieval.learned_vocabulary(chunks).filter(F.col("term").isin(asked)).collect())
         return retrieval.images_by_concept(chunks, images, image_links(chunks, images), a.query, vector, a.max, known)
     if a.type == "ask-image":
         return pipelines.analyzed_image(chunks, table(spark, a.root, "images"), a.image, a.query)

@@ -32,15 +32,18 @@ def literals(values: list[str]) -> Column:
 
 def terms_in(text: Column, terms: list[str], whole_words: bool = False) -> Column:
     """Those of ``terms`` that stand in ``text`` in any case, in order; as part of words too, unless ``whole_words``."""
-    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms])
+    if whole_words:
+        # constant patterns are made once; one is only tried where its term stands at all
+        def within(low):
+            return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t.lower())) & F.rlike(low, F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{t.lower()}\E(?![\p{{L}}\p{{N}}])")), F.lit(t)) for t in terms]))
+    else:
+        pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms])
 
-    def within(low):
-        if whole_words:
-            return F.filter(pairs, lambda p: F.rlike(low, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), p["low"], F.lit(r"\E(?![\p{L}\p{N}])"))))
-        return F.filter(pairs, lambda p: F.contains(low, p["low"]))
+        def within(low):
+            return F.transform(F.filter(pairs, lambda p: F.contains(low, p["low"])), lambda p: p["term"])
 
     # the lower case is made once a text, not once a term
-    return F.get(F.transform(F.array(F.lower(text)), lambda low: F.transform(within(low), lambda p: p["term"])), F.lit(0))
+    return F.get(F.transform(F.array(F.lower(text)), within), F.lit(0))
 
 
 def density(text: Column, terms: list[str]) -> Column:

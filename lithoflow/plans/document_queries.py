@@ -128,7 +128,6 @@ f AS (SELECT chunk_id, n, 1 AS i, 0 AS piece, ' ' || x AS cur, own AS terms FROM
   FROM f JOIN t ON t.chunk_id = f.chunk_id AND t.i = f.i + 1, LATERAL (SELECT length(f.cur) + length(t.x) > 500 OR (len(f.terms) > 0 AND len(t.own) > 0 AND NOT list_has_any(f.terms, t.own)) AS cut) z)
 SELECT chunk_id, piece AS piece_no, trim(arg_max(cur, i), ' ') AS piece FROM f GROUP BY chunk_id, piece""",
     "term_extract": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(list_sort({_in('text', dc.TERMS)}), ', '), '') ELSE '' END AS terms FROM documents",
-    "term_extract_words": rf"SELECT doc_id, coalesce(array_to_string(list_sort(list_filter({_list(dc.TERMS)}, lambda t: regexp_matches(' ' || lower(text) || ' ', '[^\p{{L}}\p{{N}}]' || lower(t) || '[^\p{{L}}\p{{N}}]'))), ', '), '') AS terms FROM documents",
     "analysis_confidence": f"""SELECT id, round(0.8::DOUBLE * 0.20 + least(0.3::DOUBLE * b + 0.1::DOUBLE * (u - b), 1) * 0.25 + least(t::DOUBLE / {len(dc.INDEX_TERMS)}, 1) * 0.20
   + CASE WHEN length(x) > 100 THEN 0.8 WHEN length(x) > 50 THEN 0.6 ELSE 0.5 END::DOUBLE * 0.15 + CASE WHEN length(x) > 200 AND n > 0 THEN 0.9 WHEN length(x) > 100 THEN 0.8 ELSE 0.7 END::DOUBLE * 0.20, 6) AS confidence
 FROM (SELECT id, x, len(list_intersect(q, g)) AS b, len(list_distinct(list_concat(q, g))) AS u, len(list_distinct(list_concat(q, a))) AS t, len(a) AS n FROM (

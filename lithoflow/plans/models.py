@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 Embedder = Callable[[list[str]], np.ndarray]
 LanguageModel = Callable[[str], str]
@@ -78,7 +79,7 @@ def with_replies(prompts: DataFrame, model: LanguageModel, prompt: str = "prompt
             yield pa.RecordBatch.from_arrays([*b.columns, replies], names=[*b.schema.names, "reply"])
 
     x = prompts.drop("reply")
-    return x.mapInArrow(run, x.schema.add("reply", "string"))
+    return x.mapInArrow(run, StructType([*x.schema.fields, StructField("reply", StringType())]))
 
 
 def seen(model: VisionModel, path: str, question: str, context: str | None, ask: LanguageModel = no_model) -> tuple[str, float]:

@@ -123,3 +123,15 @@ def test_embedder(spark):
     df = spark.createDataFrame([(1, "gamma ray"), (2, None), (3, "")], "k int, t string")
     r = {x.k: x.embedding for x in models.embedded(df, "k", "t").collect()}
     assert abs(sum(v * v for v in r[1]) - 1) < 1e-5 and r[2] is None and set(r[3]) == {0.0}
+
+
+def test_whole_words_against_brute_force(spark):
+    """In place of SQL, which takes a pattern for each text and term and doesn't end on whole tables."""
+    import re
+
+    terms = ["gamma ray", "ray", "Bed", "cross-bed", "SB", "p.u."]
+    texts = ["Gamma Ray log", "gammaray x-ray", "bedded bed", "a cross-bed, cross-beds", "SB/sb2 _sb_", "p.u. pxu.", "", None, "RAY" * 5000 + " ray", "Ärayé ray\u0301"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.t for r in df.select("i", tx.terms_in(F.col("text"), terms, whole_words=True).alias("t")).collect()}
+    want = {i: [] if x is None else [t for t in terms if re.search(rf"(?<![^\W_]){re.escape(t.lower())}(?![^\W_])", x.lower())] for i, x in enumerate(texts)}
+    assert got == want

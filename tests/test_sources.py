@@ -96,3 +96,40 @@ def test_trend_stream(spark, data, tmp_path):
 
     got, want = trends.latest(spark, str(tmp_path / "out")), wells.trend_windows(src)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_files_to_patterns(spark, tmp_path):
+    """From a LAS file to trend windows, detectors and resolved patterns."""
+    import math
+
+    from lithoflow.operators import wells
+    from lithoflow.plans import pipelines
+
+    head = "~V\nVERS. 2.0 :\nWRAP. NO :\n~W\nWELL. One : name\nUWI. 42-1 : id\n~C\nDEPT.M : depth\nGR.API : gamma\nMD.M : measured\nRHOB.G/C3 : density\n~A\n"
+    for k, shift in (("a", 0.0), ("b", 3.0)):
+        rows = [f"{1000 + i} {60 + shift + 0.8 * i + math.sin(i):.3f} {1000 + i} {2.4 if i % 50 else -999.25}" for i in range(200)]
+        (tmp_path / f"{k}.las").write_text(head + "\n".join(rows))
+    s = las.samples(spark, str(tmp_path))
+    assert {(x.well_id, x.mnemonic) for x in s.select("well_id", "mnemonic").distinct().collect()} == {("42-1", "GR"), ("42-1", "RHOB")}
+    assert s.select("curve_id").distinct().count() == 4 and s.filter("loaded_at is null").count() == 0 and s.count() == 800
+    assert wells.trend_windows(s).filter("type = 'bell'").count() == 0 and wells.trend_windows(s).count() > 10
+    assert pipelines.patterns_of_files(spark, str(tmp_path)).count() > 0 and wells.log_summary(s, 0.5, True).filter("line like '%API'").count() == 2
+
+
+def test_upsert_and_report(spark, tmp_path):
+    path = str(tmp_path / "store")
+    shape = "collection string, id string, content string"
+    stores.upsert_chunks(spark.createDataFrame([("a", "1", "old"), ("a", "2", "old"), ("b", "1", "b")], shape), path)
+    stores.upsert_chunks(spark.createDataFrame([("a", "2", "new"), ("a", "3", "new"), ("a", "3", "new")], shape), path)
+    assert sorted((x.collection, x.id, x.content) for x in stores.read_chunks(spark, path).collect()) == [("a", "1", "old"), ("a", "2", "new"), ("a", "3", "new"), ("b", "1", "b")]
+    pages = spark.createDataFrame([("d", 2, 1, 3, 0, ["sand"], "two"), ("d", 1, 0, 4, 1, ["bed", "sand"], None), ("e", 1, 9, 9, 9, [], "x")], "source_file string, page_number int, images int, blocks int, tables int, keywords array<string>, summary string")
+    lines = [x.value for x in stores.page_report(pages, "d").collect()]
+    assert lines == ["EXTRACTION SUMMARY", "Document: d", "Total Pages: 2", "- Total Images: 1", "- Total Text Blocks: 7", "- Total Tables: 1", "KEYWORDS FOUND:", "- bed", "- sand", "PAGE-BY-PAGE SUMMARY:", "Page 1: ", "Page 2: two"]
+    stores.write_report(pages, "d", str(tmp_path / "report"))
+    assert [x.value for x in spark.read.text(str(tmp_path / "report")).collect()] == lines
+
+
+def test_first_of_several_enhanced_files(spark):
+    images = spark.createDataFrame([("i", "in/a.jpg")], "id string, file_path string")
+    enhanced = spark.createDataFrame([("z/a.png",), ("b/a.png",)], "path string")
+    assert stores.with_enhanced(images, enhanced).first().file_path == "b/a.png"
