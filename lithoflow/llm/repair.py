@@ -367,7 +367,8 @@ def candidates(forms: DataFrame) -> DataFrame:
     true = true.mapInArrow(_file(_TRUE_UNITS), "key string, to string, n_to bigint")
     read_as = forms.filter(~F.col("word").rlike("[2347]")).select("word", F.when(odd, 0).otherwise(F.greatest(RATIO * F.col("n"), F.lit(RATIO // 2))).alias("least"))
     read_as = read_as.mapInArrow(_file(_READ_UNITS), "key string, word string, least bigint")
-    met = read_as.join(true, "key").filter((F.col("word") != F.col("to")) & (F.col("n_to") >= F.col("least"))).select("word", "to", "n_to").distinct()
+    # keys are many times the bytes Spark takes the forms for, so no side is to be sent round
+    met = read_as.join(true.hint("merge"), "key").filter((F.col("word") != F.col("to")) & (F.col("n_to") >= F.col("least"))).select("word", "to", "n_to").distinct()
     costed = met.mapInArrow(_cost_batches, "word string, to string, n_to bigint, cost double").filter(F.col("cost") <= MOST_COST)
     one = F.struct("to", "n_to", "cost")
     found = costed.groupBy("word").agg(F.array_sort(F.collect_set(one)).alias("found"))

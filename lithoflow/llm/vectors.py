@@ -225,7 +225,7 @@ def similar_classes(df: DataFrame, key: str, vector: str, least: float = 0.92, s
     own = single.select("id", "s1", "s2", F.explode("own").alias("bucket"))
     visit = single.select("id", "s1", "s2", "own", "dim", "edges").mapInArrow(_visits(scheme), "q bigint, q1 bigint, q2 bigint, probes array<bigint>").select("q", "q1", "q2", F.explode("probes").alias("bucket"))
     bits = F.bit_count(F.col("s1").bitwiseXOR(F.col("q1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("q2")))
-    near = own.join(visit, "bucket").filter((F.col("id") != F.col("q")) & (bits <= MOST_BITS))
+    near = own.hint("merge").join(visit, "bucket").filter((F.col("id") != F.col("q")) & (bits <= MOST_BITS))
     pairs = near.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
     va = src.select(F.col("id").alias("a"), F.col("v").alias("va"))
     vb = src.select(F.col("id").alias("b"), F.col("v").alias("vb"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lithoflow.llm import leak
 
 WORDS = ["sand", "shale", "coal", "bed", "fold", "dune", "bar", "lobe", "silt", "clay", "marl", "chalk", "slope", "shelf", "basin", "delta"]
@@ -60,3 +62,30 @@ def test_blocks_and_empty(spark):
     docs, items = spark.createDataFrame([(1, " ".join(p), "z")], DOCS), spark.createDataFrame([(i, t, 1) for i, t in enumerate(p)], ITEMS)
     assert sorted(r.item_id for r in leak.find_passages(docs, "doc_id", "text", items, block_words=15).collect()) == [0, 1, 2]
     assert leak.found(docs, items.limit(0)).count() == 0 and leak.found(docs.limit(0), items).count() == 0
+
+
+def test_the_join_finds_the_same(spark, monkeypatch):
+    real = leak.find_passages
+    monkeypatch.setattr(leak, "find_passages", lambda *a: real(*a, block_words=1))
+    monkeypatch.setattr(leak, "MAP_BITS", 12)
+    test_against_brute_force(spark)
+    test_characters_and_documents_apart(spark)
+
+
+def test_the_join_over_the_tables_and_repeated_rows(spark, data):
+    docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
+    docs = docs.unionByName(docs)
+    one, two = (sorted(map(tuple, leak.find_passages(docs, "doc_id", "text", items, b).collect())) for b in (leak.BLOCK_WORDS, 10))
+    assert one == two and len(one) > len(set(one)) > 0
+
+
+def test_many_passage_words(spark):
+    """Over ten million passage words, with a sentence that a third of the passages share."""
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"s{i}" for i in range(14))
+    passages = spark.range(60_000, numPartitions=8).selectExpr("id as item_id", f"""concat(array_join(transform(sequence(1, 170), i -> concat('w', xxhash64(id, i) % 5000000)), ' '), if(id % 3 = 0, ' {shared}', '')) as passage""")
+    some = {r.item_id: r.passage.split() for r in passages.filter("item_id % 20000 = 7").collect()}
+    docs = [(i, " ".join(["x"] * int(rng.integers(0, 9)) + p[20 : 20 + n])) for i, p in some.items() for n in [12 + i % 5]] + [(900_001, "none of it"), (900_002, None)]
+    got = leak.found(spark.createDataFrame([(i, t, "z") for i, t in docs], DOCS), passages)
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in sorted(some)]
+    assert leak.found(spark.createDataFrame([(1, shared, "z")], DOCS), passages).count() == 20_000
