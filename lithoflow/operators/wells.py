@@ -152,66 +152,105 @@ def trend_windows(samples: DataFrame, size: int = 20) -> DataFrame:
 
 
 MIN_POINTS, MIN_THICKNESS = 10, 5.0
-_PATTERN = ["curve_id", "k", "method", "type", "start_depth", "end_depth", "thickness", "confidence"]
 
 
-def _spans(x: DataFrame, *aggs: Column) -> DataFrame:
-    g = x.groupBy("curve_id", "k").agg(F.min("depth").alias("start_depth"), F.max("depth").alias("end_depth"), *aggs)
+def _spans(x: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    g = x.groupBy(*keys).agg(F.min("depth").alias("start_depth"), F.max("depth").alias("end_depth"), *aggs)
     return g.withColumn("thickness", F.col("end_depth") - F.col("start_depth")).filter(F.col("thickness") >= MIN_THICKNESS)
 
 
-def detect_gradient(samples: DataFrame) -> DataFrame:
-    """Patterns by the mean and the consistency of the smoothed gradient."""
-    s = gradient(savgol(series(samples).filter(F.col("n") >= MIN_POINTS)), "smooth")
-    g = _spans(hop_windows(s, F.greatest(F.lit(10), F.floor(F.col("n") / 20))), F.avg("gradient").alias("m"), F.stddev_pop("gradient").alias("sd"))
-    c = 1 - F.col("sd") / (F.abs("m") + 1e-6)
+def _part_of(n: int, least: int) -> Column:
+    """A window of one of ``n`` parts of the curve, of ``least`` readings at least."""
+    return F.greatest(F.lit(least), F.floor(F.col("n") / n))
+
+
+# of each method the window, what it takes of one, and its type and confidence
+_PARTS = {"gradient": (20, 10), "correlation": (15, 15), "statistical": (12, 12)}
+
+
+def _taken(method: str) -> list[Column]:
+    return {
+        "gradient": [F.avg("gradient").alias("g_mean"), F.stddev_pop("gradient").alias("g_sd")],
+        "correlation": [
+            F.regr_sxy("value", "depth").alias("sxy"), F.regr_sxx("value", "depth").alias("sxx"), F.regr_syy("value", "depth").alias("syy"), F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("span"),
+        ],
+        "statistical": [F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.regr_slope("value", "pos").alias("slope"), F.skewness("value").alias("skew")],
+    }[method]
+
+
+def _by_gradient() -> tuple[Column, Column]:
+    m, sd = F.col("g_mean"), F.col("g_sd")
+    c = 1 - sd / (F.abs(m) + 1e-6)
     raw = _clamp(100 * c, 0.0, 100.0)
-    strong = (F.abs("m") > 0.1) & (c > 0.3)
-    kind = F.when(strong & (F.col("m") > 0), "funnel").when(strong, "bell").when(F.col("sd") < 0.5, "boxcar").otherwise("irregular")
-    conf = F.when(strong, raw).when(F.col("sd") < 0.5, F.greatest(raw, F.lit(60.0))).otherwise(F.greatest(raw, F.lit(40.0)))
-    return g.select("curve_id", "k", F.lit("gradient").alias("method"), kind.alias("type"), "start_depth", "end_depth", "thickness", conf.alias("confidence"))
+    strong = (F.abs(m) > 0.1) & (c > 0.3)
+    kind = F.when(strong & (m > 0), "funnel").when(strong, "bell").when(sd < 0.5, "boxcar").otherwise("irregular")
+    return kind, F.when(strong, raw).when(sd < 0.5, F.greatest(raw, F.lit(60.0))).otherwise(F.greatest(raw, F.lit(40.0)))
 
 
-def detect_correlation(samples: DataFrame) -> DataFrame:
-    """Patterns by the correlation with a ramp; a constant window is a boxcar, ties count as funnel."""
-    s = series(samples).filter(F.col("n") >= MIN_POINTS)
-    g = _spans(
-        hop_windows(s, F.greatest(F.lit(15), F.floor(F.col("n") / 15))),
-        F.regr_sxy("value", "depth").alias("sxy"), F.regr_sxx("value", "depth").alias("sxx"), F.regr_syy("value", "depth").alias("syy"), F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("span"),
-    )
+def _by_correlation() -> tuple[Column, Column]:
     r = F.coalesce(F.abs(F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))), F.lit(0.0))
     flat = 1 - F.col("sd") / (F.col("span") + 1e-6)
-    conf = _clamp(100 * F.greatest(r, flat), 0.0, 100.0)
-    return g.select("curve_id", "k", F.lit("correlation").alias("method"), F.when(r >= flat, "funnel").otherwise("boxcar").alias("type"), "start_depth", "end_depth", "thickness", conf.alias("confidence")).filter("confidence > 30")
+    return F.when(r >= flat, "funnel").otherwise("boxcar"), _clamp(100 * F.greatest(r, flat), 0.0, 100.0)
 
 
-def detect_statistical(samples: DataFrame) -> DataFrame:
-    """Patterns by coefficient of variation, slope and skewness."""
-    s = series(samples).filter(F.col("n") >= MIN_POINTS)
-    v = "value"
-    g = _spans(
-        hop_windows(s, F.greatest(F.lit(12), F.floor(F.col("n") / 12))),
-        F.avg(v).alias("m"), F.stddev_pop(v).alias("sd"), F.regr_slope(v, "pos").alias("slope"), F.skewness(v).alias("skew"),
-    )
+def _by_statistics() -> tuple[Column, Column]:
     sd = F.col("sd")
     cv = sd / (F.abs("m") + 1e-6)
     skew = F.abs(F.coalesce(F.nanvl("skew", F.lit(0.0)), F.lit(0.0)))
     steep = F.abs("slope") > 0.1 * sd
     kind = F.when(cv < 0.15, "boxcar").when(steep & (F.col("slope") > 0), "funnel").when(steep, "bell").otherwise("irregular")
     conf = F.when(cv < 0.15, _clamp((1 - cv) * 100, 60.0, 90.0)).when(steep, _clamp(F.try_divide(F.abs("slope"), sd) * 50, 40.0, 85.0)).when(skew > 1, _clamp(skew * 30, 30.0, 70.0)).otherwise(50.0)
-    return g.select("curve_id", "k", F.lit("statistical").alias("method"), kind.alias("type"), "start_depth", "end_depth", "thickness", conf.alias("confidence"))
+    return kind, conf
+
+
+_JUDGED = {"gradient": _by_gradient, "correlation": _by_correlation, "statistical": _by_statistics}
+LEAST_CORRELATION = 30
+
+
+def _detected(s: DataFrame, method: str) -> DataFrame:
+    g = _spans(hop_windows(s, _part_of(*_PARTS[method])), ["curve_id", "k"], *_taken(method))
+    kind, conf = _JUDGED[method]()
+    out = g.select("curve_id", "k", F.lit(method).alias("method"), kind.alias("type"), "start_depth", "end_depth", "thickness", conf.alias("confidence"))
+    return out.filter(F.col("confidence") > LEAST_CORRELATION) if method == "correlation" else out
+
+
+def _long_enough(samples: DataFrame) -> DataFrame:
+    return series(samples).filter(F.col("n") >= MIN_POINTS)
+
+
+def detect_gradient(samples: DataFrame) -> DataFrame:
+    """Patterns by the mean and the consistency of the smoothed gradient."""
+    return _detected(gradient(savgol(_long_enough(samples)), "smooth"), "gradient")
+
+
+def detect_correlation(samples: DataFrame) -> DataFrame:
+    """Patterns by the correlation with a ramp; a constant window is a boxcar, ties count as funnel."""
+    return _detected(_long_enough(samples), "correlation")
+
+
+def detect_statistical(samples: DataFrame) -> DataFrame:
+    """Patterns by coefficient of variation, slope and skewness."""
+    return _detected(_long_enough(samples), "statistical")
 
 
 def patterns(samples: DataFrame) -> DataFrame:
-    """The patterns of all three detectors."""
-    return detect_gradient(samples).unionByName(detect_correlation(samples)).unionByName(detect_statistical(samples))
+    """The patterns of all three detectors, in one reading of the samples: a row goes to the windows of each."""
+    s = gradient(savgol(_long_enough(samples)), "smooth").select("curve_id", "i", "n", "depth", "value", "gradient")
+    sized = s.select("*", F.explode(F.create_map(*[x for m in _PARTS for x in (F.lit(m), _part_of(*_PARTS[m]).cast("bigint"))])).alias("method", "size"))
+    # what two methods take is taken once
+    taken = {str(a): a for m in _PARTS for a in _taken(m)}
+    g = _spans(hop_windows(sized, F.col("size")), ["curve_id", "method", "k"], *taken.values())
+    by = {m: f() for m, f in _JUDGED.items()}
+    pick = lambda j: F.coalesce(*[F.when(F.col("method") == m, by[m][j]) for m in by])
+    out = g.select("curve_id", "k", "method", pick(0).alias("type"), "start_depth", "end_depth", "thickness", pick(1).alias("confidence"))
+    return out.filter((F.col("method") != "correlation") | (F.col("confidence") > LEAST_CORRELATION))
 
 
 def resolve_overlaps(found: DataFrame) -> DataFrame:
     """Per curve the patterns that do not overlap a more confident one; touching is no overlap.
 
-    Taken in order of confidence, then method, then window.  A curve's patterns are one group: their number is
-    that of its hop windows, not of its readings.
+    Taken in order of confidence, then method, then window.  A curve's patterns are one group, of bounded size: windows are a part
+    of their curve, so however long it is, the three methods have less than 2 * (20 + 15 + 12) of them.
     """
     order = F.when(F.col("method") == "gradient", 0).when(F.col("method") == "correlation", 1).otherwise(2)
     # confidences are compared as they are shown, so that equal ones stay in the order of the methods
