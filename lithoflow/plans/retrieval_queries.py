@@ -9,7 +9,7 @@ from ..functions.vocab import INDICATOR_WORDS
 from ..operators import retrieval as r
 from ..operators import search as s
 from ..sources.tables import table
-from .search_queries import _USABLE, _V, LONG, TERM, _with_vector, stored_vectors
+from .search_queries import _USABLE, _V, LONG, TERM, TYPES, _with_vector, stored_vectors
 from .well_queries import rounded
 
 PER_TYPE, TOP = 10, 5
@@ -63,6 +63,9 @@ def _thresholds(spark, d):
 
 QUERIES = {
     "image_match": _matches,
+    "exact_hits": _with_vector(lambda c, v: s.exact(c, TERM).select("chunk_id", "collection", "score")),
+    "hybrid_hits": _with_vector(lambda c, v: s.search_all(c, TERM, v, 50, -1.0)),
+    "typed_hits": _with_vector(lambda c, v: s.search_by_type(c, LONG, v, TYPES, PER_TYPE)),
     "search_dispatch": _with_vector(lambda c, v: r.by_kind(c, LONG, v, "text", PER_TYPE)),
     "search_images": _with_vector(lambda c, v: r.by_kind(c, LONG, v, "image", 2 * TOP)),
     "image_concept": _with_images(lambda c, i, links, q, v: r.images_by_concept(c, i, links, q, v, TOP), LONG),
@@ -113,19 +116,32 @@ al AS (SELECT *, CASE WHEN score > 0.3 THEN 1 ELSE 2 END AS tier FROM (SELECT *
 res AS (SELECT *, row_number() OVER (ORDER BY tier, round(score, 9) DESC, id) AS rank FROM al QUALIFY rank <= {k})"""
 
 
-_HELD = "CASE " + " ".join(f"WHEN contains(content, '{x}') THEN 0.95::DOUBLE WHEN contains(low, '{x}') THEN 0.85::DOUBLE" for x in [LONG, *s.variations(LONG)]) + " END"
 
-ORACLE_SQL = {
-    "related_context": f"""WITH {_V}, l AS (SELECT *, lower(content) AS low FROM sim),
-ex AS (SELECT *, CASE WHEN collection = 'spem_image_metadata' THEN {_r5(LONG)} ELSE {_HELD} END AS score, 0 AS src FROM l),
+
+def _held(query: str) -> str:
+    """SQL of the exact score: images by R5, other chunks by what stands in them."""
+    cases = " ".join(f"WHEN contains(content, '{x}') THEN 0.95::DOUBLE WHEN contains(low, '{x}') THEN 0.85::DOUBLE" for x in [query, *s.variations(query)])
+    return f"CASE WHEN collection = 'spem_image_metadata' THEN {_r5(query)} ELSE CASE {cases} END END"
+
+
+def _hybrid(query: str, k: int, least: float) -> str:
+    """CTE ``res`` of the hybrid search over all collections."""
+    return f"""l AS (SELECT *, lower(content) AS low FROM sim),
+ex AS (SELECT *, {_held(query)} AS score, 0 AS src FROM l),
 nn AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY round(sc, 9) DESC, chunk_id) AS rk FROM l WHERE sc IS NOT NULL),
-un AS (SELECT chunk_id, chunk_type, page, content, score, src FROM ex WHERE score IS NOT NULL
-  UNION ALL SELECT chunk_id, chunk_type, page, content, sc, 1 FROM nn WHERE rk <= 10 AND contains(low, '{LONG}') AND sc >= 0.3),
+un AS (SELECT chunk_id, collection, chunk_type, page, content, score, src FROM ex WHERE score IS NOT NULL
+  UNION ALL SELECT chunk_id, collection, chunk_type, page, content, sc, 1 FROM nn WHERE rk <= {k} AND contains(low, '{query}') AND sc >= {least}),
 dd AS (SELECT *, coalesce(chunk_type, 'unknown') AS kind FROM un QUALIFY row_number() OVER (PARTITION BY trim(content[:100], ' ') ORDER BY src, chunk_id) = 1),
 rk AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dd),
 pl AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY rank) AS kr FROM rk),
-res AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN kr = 1 THEN 0 ELSE 1 END, rank) AS place FROM pl QUALIFY place <= 10)
-SELECT chunk_id, page, round(score, 6) AS score, place FROM res WHERE chunk_id <> (SELECT min(chunk_id) FROM chunks WHERE geological_terms[1] = '{LONG}')""",
+res AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN kr = 1 THEN 0 ELSE 1 END, rank) AS place FROM pl QUALIFY place <= {k})"""
+
+
+ORACLE_SQL = {
+    "related_context": f"WITH {_V}, {_hybrid(LONG, 10, 0.3)} SELECT chunk_id, page, round(score, 6) AS score, place FROM res WHERE chunk_id <> (SELECT min(chunk_id) FROM chunks WHERE geological_terms[1] = '{LONG}')",
+    "exact_hits": f"SELECT * FROM (SELECT chunk_id, collection, round({_held(TERM)}, 6) AS score FROM (SELECT *, lower(content) AS low FROM chunks)) WHERE score IS NOT NULL",
+    "hybrid_hits": f"WITH {_V}, {_hybrid(TERM, 50, -1)} SELECT chunk_id, collection, kind, page, round(score, 6) AS score, place FROM res",
+    "typed_hits": f"WITH {_TYPED} SELECT content_type, rank, chunk_id, round(score, 6) AS score FROM ty WHERE content_type IN ({', '.join(repr(t) for t in TYPES)}) AND rank <= {PER_TYPE}",
     "image_match": f"SELECT chunk_id, round({_r5(TERM)}, 6) AS boundary, round({_r5(LONG)}, 6) AS ray FROM (SELECT chunk_id, lower(content) AS low FROM chunks WHERE collection = 'spem_image_metadata')",
     "search_dispatch": f"WITH {_TYPED} SELECT chunk_id, 'text' AS content_type, page, round(score, 6) AS score, rank FROM txt",
     "search_images": f"WITH {_TYPED} SELECT chunk_id, content_type, page, round(score, 6) AS score, rank FROM ty WHERE content_type = 'image_description' AND rank <= {2 * TOP}",
