@@ -184,6 +184,18 @@ def scale_factor(width: Column, height: Column) -> Column:
     return F.when(most.isNotNull(), F.greatest(F.least(fit, most), F.lit(1.0))).otherwise(F.greatest(fit, F.lit(1.0)))
 
 
+def lanczos_size(width: Column, height: Column) -> Column:
+    """``struct<width, height>`` of an image enlarged to fit 1600 x 1200, 8 times at most; one that needn't grow stays as it is."""
+    scale = F.least(F.try_divide(F.lit(1600.0), width), F.try_divide(F.lit(1200.0), height), F.lit(8.0))
+    grown = lambda side: F.when(scale > 1, F.floor(side * scale)).otherwise(side).cast("int")
+    return F.struct(grown(width).alias("width"), grown(height).alias("height"))
+
+
+def improvement(old: Column, new: Column) -> Column:
+    """How many times ``old`` a measure of an image became; 0 where there was nothing."""
+    return F.when(old > 0, new / old).otherwise(0.0)
+
+
 def answer_confidence(failed: Column, concepts_found: Column, pattern: Column, interpretation: Column, question: Column, analysis: Column) -> Column:
     """The share of five signs of a good answer."""
     shared = F.size(F.array_intersect(words(F.lower(question)), words(F.lower(analysis))))

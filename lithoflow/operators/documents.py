@@ -142,3 +142,15 @@ def extraction_summary(blocks: DataFrame, images: DataFrame) -> DataFrame:
 def images_per_page(images: DataFrame) -> DataFrame:
     """``page_number, count``: how many images each page number has."""
     return images.groupBy("page_number").count()
+
+
+def compared_extractions(one: DataFrame, other: DataFrame, most: int = 3) -> DataFrame:
+    """``pair, one, other, ratio``: the images of two extractions (name, width, height) side by side by their names, the first ``most``; pair 0 has the counts."""
+
+    def first(df, name):
+        top = df.orderBy("name").limit(most).select("name", (F.col("width").cast("bigint") * F.col("height")).alias(name))
+        return top.withColumn("pair", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name"))).drop("name")
+
+    pairs = first(one, "one").join(first(other, "other"), "pair")
+    counts = one.agg(F.count("*").alias("one")).withColumn("pair", F.lit(0)).join(other.agg(F.count("*").alias("other")).withColumn("pair", F.lit(0)), "pair")
+    return counts.unionByName(pairs).select("pair", "one", "other", F.try_divide(F.col("other"), F.col("one")).alias("ratio"))

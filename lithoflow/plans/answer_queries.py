@@ -55,6 +55,11 @@ def _enhanced(spark, d):
     return names.select("id", "file_path")
 
 
+def _compared(spark, d):
+    i = table(spark, d, "images").select("image_type", F.col("id").alias("name"), "width", "height")
+    return rounded(documents.compared_extractions(i.filter("image_type = 'well_log'"), i.filter("image_type <> 'well_log'")))
+
+
 QUERIES = {
     "result_lines": _select("chunks", lambda: ["chunk_id", tx.result_line(F.coalesce("content", F.lit("")), F.col("page"), F.lit(0.5), F.coalesce("geological_terms", F.array().cast("array<string>"))).alias("line")]),
     "content_descriptions": _select("images", lambda: ["id", an.content_description(F.col("image_type")).alias("says")]),
@@ -72,6 +77,8 @@ QUERIES = {
     "images_enhanced": _enhanced,
     "batch_stats": _batch,
     "image_options": _options,
+    "lanczos_size": _select("images", lambda: ["id", tx.lanczos_size(F.col("width"), F.col("height"))["width"].alias("width"), tx.lanczos_size(F.col("width"), F.col("height"))["height"].alias("height")]),
+    "extraction_compare": _compared,
     "images_per_page": lambda spark, d: documents.images_per_page(table(spark, d, "images")),
     "term_words": lambda spark, d: tx.term_words(table(spark, d, "documents"), "doc_id", "text", vocab.KNOWLEDGE_TERMS),
 }
@@ -121,6 +128,10 @@ WHERE b.text IS NOT NULL AND b.bbox.x0 <= i.bbox.x1 + 50 AND b.bbox.x1 >= i.bbox
   CASE WHEN m IS NULL THEN greatest(f, 1) ELSE greatest(least(f, m), 1) END AS s FROM (SELECT caption, least(1600.0::DOUBLE / width, 1200.0::DOUBLE / height) AS f,
   CASE WHEN least(width, height) < 200 THEN 10.0::DOUBLE WHEN least(width, height) < 400 THEN 6 WHEN least(width, height) < 600 THEN 4 WHEN least(width, height) < 800 THEN 2 END AS m FROM images))""",
     "image_options": "SELECT number, page_number, number || '. ' || CASE WHEN length(trim(caption, ' ')) > 0 THEN caption[:100] ELSE 'no description' END AS label FROM (SELECT *, row_number() OVER (ORDER BY page_number, id) AS number FROM images) WHERE number <= 40",
+    "lanczos_size": """SELECT id, CAST(CASE WHEN f > 1 THEN floor(width * f) ELSE width END AS INTEGER) AS width, CAST(CASE WHEN f > 1 THEN floor(height * f) ELSE height END AS INTEGER) AS height
+FROM (SELECT *, least(1600.0::DOUBLE / width, 1200.0::DOUBLE / height, 8) AS f FROM images)""",
+    "extraction_compare": """WITH a AS (SELECT row_number() OVER (ORDER BY id) AS pair, width::BIGINT * height AS px FROM images WHERE image_type = 'well_log'), b AS (SELECT row_number() OVER (ORDER BY id) AS pair, width::BIGINT * height AS px FROM images WHERE image_type <> 'well_log')
+SELECT pair, one, other, round(other::DOUBLE / one, 6) AS ratio FROM (SELECT 0 AS pair, (SELECT count(*) FROM a) AS one, (SELECT count(*) FROM b) AS other UNION ALL SELECT pair, a.px, b.px FROM a JOIN b USING (pair) WHERE pair <= 3)""",
     "images_per_page": "SELECT page_number, count(*) AS count FROM images GROUP BY page_number",
     "term_words": "SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0))) AS term FROM documents) WHERE list_contains("
     + repr([t.lower() for t in vocab.KNOWLEDGE_TERMS if " " not in t and "-" not in t]) + ", term)",

@@ -76,3 +76,10 @@ def interpretations(samples: DataFrame, chunks: DataFrame, mode: str = "comprehe
         "curve_id", "prompt", "reply", tx.systems_tracts(r).alias("systems_tracts"), tx.key_surfaces(r).alias("key_surfaces"), tx.detailed_environment(r).alias("environment"),
         tx.statements(r, vocab.EVIDENCE_STARTS, 20, 5).alias("evidence"), tx.statements(r, vocab.RECOMMENDATION_STARTS, 15, 3).alias("recommendations"),
     )
+
+
+def knowledge_on(chunks: DataFrame, category: str, name: str, k: int = 5, embedder: models.Embedder = models.hashed_ngrams) -> DataFrame:
+    """The ``k`` knowledge chunks on a pattern, a surface or an environment, of that type."""
+    if category not in ("pattern", "surface", "environment"):
+        raise ValueError("category must be pattern, surface or environment")
+    return search.knowledge(chunks, embedder([prompts.canned_query(category, name)])[0].tolist(), k, category)

@@ -47,10 +47,10 @@ def prompts(patterns: DataFrame, logs: DataFrame, context: DataFrame, mode: str,
 def canned_query(category: str, name: str) -> str:
     """The search text for a pattern, surface or environment."""
     if category == "pattern":
-        return vocab.PATTERN_QUERIES.get(name, f"{name} pattern")
+        return vocab.PATTERN_QUERIES.get(name, name)
     if category == "surface":
-        return vocab.SURFACE_QUERIES.get(name, f"{name} surface")
-    return f"{name} depositional environment facies"
+        return vocab.SURFACE_QUERIES.get(name.lower(), name)
+    return f"{name} depositional environment facies characteristics"
 
 
 def sequence_query(types: list[str]) -> str:

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions import vocab
 from ..plans.lineage import cut
 
 # The shape of an extraction result.
@@ -129,3 +131,30 @@ def pending(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
 def batch_stats(results: DataFrame) -> DataFrame:
     """Of ``error, scale`` rows: how many were processed, failed, and the mean scale of the first."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.avg(F.when(F.col("error").isNull(), F.col("scale"))).alias("mean_scale"))
+
+
+def image_rows(raw: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Images as an extractor yields them (source_file, page_number, index, content, width, height, rectangles, page_width, page_height, file_path)
+    with id, box, text around, caption, type and what they are about; those of under 100 bytes are no images."""
+    kept = raw.filter(F.length("content") >= 100)
+    x = kept.withColumns({"id": image_id(F.col("page_number"), F.col("index"), F.col("content")), "bbox": image_box(F.col("rectangles"), F.col("page_width"), F.col("page_height"))})
+    x = x.join(nearby_text(x, blocks), "id", "left").withColumn("context_text", F.coalesce("context", F.lit("")))
+    x = x.withColumn("caption", tx.caption_of(F.col("context_text"), F.lit(None).cast("string")))
+    about = F.array_join(tx.terms_in(F.concat_ws(" ", "caption", "context_text"), vocab.KNOWLEDGE_TERMS), "; ")
+    return x.select("id", "source_file", "page_number", tx.image_kind(F.col("caption"), F.col("context_text")).alias("image_type"), "bbox", "width", "height", "file_path", "caption", "context_text", about.alias("geological_content"))
+
+
+def write_tables(tables: DataFrame, path: str) -> None:
+    """Writes tables of more than one row as JSON, by source."""
+    write_json(kept_tables(tables), path, ["source_file"], "overwrite")
+
+
+def write_metadata(chunks: DataFrame, path: str) -> None:
+    """Writes what a store holds: chunks and usable vectors by collection, in one JSON file."""
+    usable = F.count_if(F.coalesce(F.size("embedding"), F.lit(0)) > 0)
+    write_json(chunks.groupBy("collection").agg(F.count("*").alias("chunks"), usable.alias("vectors")).coalesce(1), path, mode="overwrite")
+
+
+def write_interpretations(df: DataFrame, path: str, key: str = "well_id") -> None:
+    """Adds interpretations as JSON, by well, with the time they were written."""
+    write_json(df.withColumn("written_at", F.current_timestamp()), path, [key])

@@ -133,3 +133,30 @@ def test_first_of_several_enhanced_files(spark):
     images = spark.createDataFrame([("i", "in/a.jpg")], "id string, file_path string")
     enhanced = spark.createDataFrame([("z/a.png",), ("b/a.png",)], "path string")
     assert stores.with_enhanced(images, enhanced).first().file_path == "b/a.png"
+
+
+def test_image_rows_and_sinks(spark, tmp_path):
+    shape = "source_file string, page_number int, index int, content binary, width int, height int, rectangles array<struct<x0 double, y0 double, x1 double, y1 double>>, page_width double, page_height double, file_path string"
+    raw = spark.createDataFrame([("a", 3, 1, b"x" * 200, 40, 30, [(10.0, 10.0, 50.0, 50.0)], 600.0, 800.0, "p.png"), ("a", 4, 1, b"y" * 200, 4, 3, None, 600.0, 800.0, "q.png"), ("a", 3, 2, b"small", 4, 3, None, 600.0, 800.0, "r.png")], shape)
+    blocks = spark.createDataFrame([("a", 3, "b1", "Figure 2: gamma ray log of shale. More", (20.0, 60.0, 40.0, 70.0))], "source_file string, page_number int, id string, text string, bbox struct<x0 double, y0 double, x1 double, y1 double>")
+    got = {x.file_path: x for x in stores.image_rows(raw, blocks).collect()}
+    assert set(got) == {"p.png", "q.png"} and got["p.png"].caption == "Figure 2: gamma ray log of shale" and got["p.png"].image_type == "well_log" and got["p.png"].id.startswith("spem_img_003_001_")
+    assert got["q.png"].context_text == "" and got["q.png"].image_type == "other" and got["q.png"].bbox.x0 == 60.0
+    tables = spark.createDataFrame([("a", "t", [["x", "y"], ["1", None]]), ("a", "u", [["x"]])], "source_file string, id string, data array<array<string>>")
+    stores.write_tables(tables, str(tmp_path / "t"))
+    assert [(x.id, x.row_count, x.col_count) for x in spark.read.json(str(tmp_path / "t")).collect()] == [("t", 2, 2)]
+    chunks = spark.createDataFrame([("a", [1.0]), ("a", None), ("b", [])], "collection string, embedding array<float>")
+    stores.write_metadata(chunks, str(tmp_path / "m"))
+    assert sorted((x.collection, x.chunks, x.vectors) for x in spark.read.json(str(tmp_path / "m")).collect()) == [("a", 2, 1), ("b", 1, 0)]
+    for _ in range(2):
+        stores.write_interpretations(spark.createDataFrame([("w", "sand")], "well_id string, text string"), str(tmp_path / "i"))
+    assert spark.read.json(str(tmp_path / "i")).filter("well_id = 'w' and written_at is not null").count() == 2
+
+
+def test_knowledge_on(spark, data):
+    from lithoflow.plans import pipelines, prompts
+
+    chunks = spark.read.parquet(f"{data}/chunks.parquet")
+    for category in ("pattern", "surface", "environment"):
+        assert {x.chunk_type for x in pipelines.knowledge_on(chunks.withColumn("embedding", F.transform("embedding", lambda v: v)), category, "funnel").collect()} <= {category}
+    assert prompts.canned_query("surface", "MFS").startswith("maximum flooding") and prompts.canned_query("pattern", "odd") == "odd" and prompts.canned_query("environment", "deltaic") == "deltaic depositional environment facies characteristics"
