@@ -10,7 +10,12 @@ intervals an entity has, so neither a hot entity nor repeated rows can make a la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -35,49 +40,100 @@ def dyadic_blocks(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame
     return x.select(*keys, F.expr(f"inline({pieces})")).distinct()
 
 
-def uncovered(blocks: DataFrame, cell_level: int = CELL_LEVEL) -> tuple[DataFrame, DataFrame]:
-    """``blocks`` (key, k, i) below ``cell_level`` as ``key, cell, node`` and those from it on as ``key, k, i``, both without what an ancestor of the latter covers.
-
-    ``node`` numbers the blocks of a cell as a heap (1 is the whole cell, ``2n`` and ``2n + 1`` are the halves of ``n``).
-    """
-    c = cell_level
-    high = blocks.filter(F.col("k") >= c)
+def covered(x: DataFrame, level: Column, above_by: int, high: DataFrame) -> DataFrame:
+    """The distinct rows of ``x`` (key, i) whose block, of ``level``, has an ancestor ``above_by`` levels up or more among the blocks ``high``."""
     # ancestors are looked up at the levels there are
     levels = F.broadcast(high.agg(F.collect_set("k").alias("levels")).withColumn("one", F.lit(1)))
     above = high.select(F.col("key").alias("__key"), F.col("k").alias("__k"), F.col("i").alias("__i"))
+    up = x.withColumns({"one": F.lit(1), "__level": level}).join(levels, "one").select(*x.columns, "__level", F.explode("levels").alias("up")).filter(F.col("up") >= F.col("__level") + above_by)
+    at = F.expr("shiftright(i, up - __level)")
+    return up.join(above, (F.col("key") == F.col("__key")) & (F.col("up") == F.col("__k")) & (at == F.col("__i")), "left_semi").select(*x.columns).distinct()
 
-    def covered(x, level):
-        up = x.withColumn("one", F.lit(1)).join(levels, "one").select(*x.columns, F.explode("levels").alias("up")).filter(F.col("up") >= level)
-        return up.join(above, (F.col("key") == F.col("__key")) & (F.col("up") == F.col("__k")) & (F.expr(f"shiftright(i, up - {level if isinstance(level, int) else 'k'})") == F.col("__i")), "left_semi").select(*x.columns).distinct()
-
-    low = blocks.filter(F.col("k") < c).select("key", F.expr(f"shiftright(i, {c} - k)").alias("cell"), F.expr(f"shiftleft(1L, {c} - k) + (i - shiftleft(shiftright(i, {c} - k), {c} - k))").alias("node"))
-    whole = covered(low.select("key", F.col("cell").alias("i")).distinct(), c).withColumnRenamed("i", "cell")
-    return low.join(whole, ["key", "cell"], "left_anti"), high.join(covered(high, F.col("k") + 1), ["key", "k", "i"], "left_anti")
 
+def cell_runs(left: np.ndarray, right: np.ndarray, row: np.ndarray, node: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, start, end`` of the sorted, disjoint, non-adjacent runs of cells of level ``c``, in offsets.
 
-def merge_cell(cell_level: int = CELL_LEVEL):
-    """Column: the sorted, disjoint, non-adjacent runs ``array<struct<s, e>>`` (offsets in the cell) of the heap nodes in ``__nodes``."""
-    c = cell_level
-    depth_of = "cast(floor(log2(n)) as int)"
-    # from the lowest level up, both halves of a block become the block
-    expr = f"""
-      aggregate(sequence({c}, 1, -1), __nodes, (acc, d) ->
-        aggregate(array(array_intersect(
-            transform(filter(acc, n -> n >= shiftleft(1L, d) and n < shiftleft(1L, d + 1) and n % 2 = 0), n -> shiftright(n, 1)),
-            transform(filter(acc, n -> n >= shiftleft(1L, d) and n < shiftleft(1L, d + 1) and n % 2 = 1), n -> shiftright(n, 1)))),
-          acc, (a, p) -> if(size(p) = 0, a, concat(array_except(a, flatten(transform(p, x -> array(2 * x, 2 * x + 1)))), p))))
+    A cell holds what begins at ``left`` and goes on (-1 for nothing), what ends at ``right`` (-1 for nothing), and the blocks
+    ``node`` of the cells ``row``, numbered as a heap: 1 is the whole cell, 2n and 2n + 1 are the halves of n.
     """
-    merged = f"""
-      array_sort(transform({expr}, n -> struct(
-          shiftleft(n, {c} - {depth_of}) - {1 << c} as s,
-          shiftleft(n + 1, {c} - {depth_of}) - {1 << c} as e)))
+    size, every = 1 << c, np.arange(len(left))
+    rows, nodes = [row], [node]
+
+    def add(some, blocks):
+        rows.append(every[some])
+        nodes.append(blocks[some])
+
+    # canonical blocks of [left, size) and of [0, right)
+    add(left == 0, np.ones_like(left))
+    add(right == size, np.ones_like(right))
+    for k in range(c):
+        begin, end, first = -(-left >> k), right >> k, size >> k
+        add((left > 0) & (begin < first) & (begin & 1 == 1), first + begin)
+        add((right > 0) & (right < size) & (end & 1 == 1), first + end - 1)
+    row, node = np.concatenate(rows), np.concatenate(nodes).astype(np.int64)
+    # blocks in order of their start, the longer first: a block is covered where an earlier one of its cell reaches its end
+    depth = np.frexp(node.astype(np.float64))[1] - 1
+    start, end = (node << (c - depth)) - size, ((node + 1) << (c - depth)) - size
+    order = np.lexsort((-end, start, row))
+    row, node, end, depth = row[order], node[order], end[order], depth[order]
+    reach = np.maximum.accumulate(row * (2 * size) + end)
+    keep = np.r_[True, row[1:] * (2 * size) + end[1:] > reach[:-1]][: len(row)]
+    row, node, depth = row[keep], node[keep], depth[keep]
+    # from the lowest level up, both halves of a block become the block
+    done, up = [], np.zeros((2, 0), np.int64)
+    for d in range(c, -1, -1):
+        at = depth == d
+        here = np.concatenate([np.stack([row[at], node[at]]), up], axis=1)
+        here = here[:, np.lexsort((here[1], here[0]))]
+        pair = np.zeros(here.shape[1] + 1, bool)
+        pair[:-2] = (here[0, 1:] == here[0, :-1]) & (here[1, 1:] == here[1, :-1] + 1) & (here[1, :-1] & 1 == 0)
+        second = np.r_[False, pair[:-2]] if len(pair) > 1 else pair[:-1]
+        pair = pair[:-1]
+        up = np.stack([here[0, pair], here[1, pair] >> 1]) if d else np.zeros((2, 0), np.int64)
+        done.append(np.concatenate([here[:, ~(pair | second)] if d else here, np.full((1, here.shape[1] - (2 * pair.sum() if d else 0)), d)]))
+    row, node, depth = np.concatenate(done, axis=1)
+    start, end = (node << (c - depth)) - size, ((node + 1) << (c - depth)) - size
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    # adjacent blocks are one run
+    new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] != end[:-1])][: len(row)]
+    last = np.r_[new[1:], True][: len(row)]
+    return row[new], start[new], end[last]
+
+
+def _run_batches(c: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        edge = [np.asarray(b.column(i).fill_null(-1)).astype(np.int64) for i in (2, 3)]
+        lists = b.column(4)
+        row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
+        row, start, end = cell_runs(*edge, row, np.asarray(lists.flatten()).astype(np.int64), c)
+        at = np.asarray(b.column(1))[row] << c
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(at + start), pa.array(at + end)], names=["key", "s", "e"])
+
+
+def runs_of_cells(src: DataFrame, c: int) -> tuple[DataFrame, DataFrame]:
+    """Of the half-open intervals ``key, __s, __e``: the runs ``key, s, e`` within cells of level ``c``, and the distinct blocks ``key, k, i`` of whole cells.
+
+    An interval over several cells leaves, in its first and last cell, what only the least start and the greatest end
+    of the cell tell of; these are taken before anything moves.  Cells and blocks under a longer block are left out.
     """
-    return F.expr(f"""
-      aggregate({merged}, cast(array() as array<struct<s:bigint,e:bigint>>), (acc, b) ->
-        if(size(acc) > 0 and element_at(acc, -1).e = b.s,
-           concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, b.e as e))),
-           concat(acc, array(b))))
-    """)
+    x = src.withColumns({"cs": F.shiftright("__s", c), "ce": F.shiftright(F.col("__e") - 1, c)})
+    ends = x.filter("cs < ce").select("key", F.expr(f"""inline(array(
+        struct(cs as cell, cast(__s - shiftleft(cs, {c}) as int) as l, cast(null as int) as r),
+        struct(ce as cell, cast(null as int) as l, cast(__e - shiftleft(ce, {c}) as int) as r)))"""))
+    edges = ends.groupBy("key", "cell").agg(F.min("l").alias("l"), F.max("r").alias("r"))
+    within = x.filter("cs = ce").select(F.struct("key", F.col("cs").alias("cell")).alias("at"), F.expr(f"__s - shiftleft(cs, {c})").alias("lo"), F.expr(f"__e - shiftleft(cs, {c})").alias("hi"))
+    inner = dyadic_blocks(within, ["at"], "lo", "hi").select("at.key", "at.cell", F.expr(f"cast(shiftleft(1L, {c} - k) + i as int)").alias("node")).groupBy("key", "cell").agg(F.collect_set("node").alias("nodes"))
+    cells = edges.join(inner, ["key", "cell"], "full_outer")
+    middle = dyadic_blocks(x.select("key", (F.col("cs") + 1).alias("lo"), F.col("ce").alias("hi")), ["key"], "lo", "hi")
+    high = middle.select("key", (F.col("k") + c).alias("k"), "i")
+    under = covered(cells.select("key", F.col("cell").alias("i")), F.lit(c), 0, high).withColumnRenamed("i", "cell")
+    kept = cells.join(under, ["key", "cell"], "left_anti").select("key", "cell", "l", "r", "nodes")
+    key = src.schema["key"].dataType.simpleString()
+    runs = kept.mapInArrow(partial(_run_batches, c), f"key {key}, s bigint, e bigint")
+    return runs, high.join(covered(high, F.col("k"), 1, high).select("key", "k", "i"), ["key", "k", "i"], "left_anti")
 
 
 def _tier(items: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
@@ -115,22 +171,7 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, cell_l
     src = df.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), a.alias("__a"), b.alias("__b")).filter("__a is not null and __b is not null")
     # doubled limits make closed intervals half-open: [a, b] is [2a, 2b + 1), and b + 1 does not touch b
     src = src.select("key", (2 * F.least("__a", "__b")).alias("__s"), (2 * F.greatest("__a", "__b") + 1).alias("__e"))
-    low, high = uncovered(dyadic_blocks(src, ["key"], "__s", "__e"), c)
-    start_of = F.expr(f"shiftleft(node, {c} - cast(floor(log2(node)) as int))")
-    end_of = F.expr(f"shiftleft(node + 1, {c} - cast(floor(log2(node)) as int))")
-    # blocks in order of their start, the longer first: a block is covered where an earlier one reaches its end
-    w = Window.partitionBy("key", "cell").orderBy(F.col("__bs"), F.col("node")).rowsBetween(Window.unboundedPreceding, -1)
-    runs = (
-        low.withColumn("__bs", start_of)
-        .withColumn("__be", end_of)
-        .withColumn("__reach", F.max("__be").over(w))
-        .filter("__reach is null or __reach < __be")
-        .groupBy("key", "cell")
-        .agg(F.collect_list("node").alias("__nodes"))
-        .withColumn("__off", F.shiftleft("cell", c))
-        .withColumn("__local", merge_cell(c))
-        .select("key", F.expr("inline(transform(__local, r -> struct(__off + r.s as s, __off + r.e as e)))"))
-    )
+    runs, high = runs_of_cells(src, c)
     # the runs and the long blocks are read by every tier
     level, items, high, out = c, cut(runs.withColumn("inner", F.lit(False))), cut(high), None
     while True:

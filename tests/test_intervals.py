@@ -85,3 +85,24 @@ def test_infinite_depths(spark):
     i = spark.createDataFrame([("w", 1.0, float("inf")), ("w", float("nan"), 3.0), ("w", -5.0, 0.0)], "well_id string, depth_top double, depth_base double")
     runs = spark.createDataFrame([], "well_id string, depth_min double, depth_max double")
     assert sorted((r.piece, r.start_cm, r.end_cm) for r in intervals.found(i, runs).collect()) == [("gap", 0, 100), ("period", -500, 0), ("period", 100, 2**60)]
+
+
+def test_runs_of_cells_against_brute_force():
+    import numpy as np
+
+    r, c = random.Random(2), 5
+    left, right, row, node, want = [], [], [], [], []
+    for k in range(300):
+        held = set()
+        left.append(r.choice([-1, -1, 0, r.randint(0, 31)]))
+        right.append(r.choice([-1, -1, 32, r.randint(1, 32)]))
+        held |= set(range(left[-1], 32)) if left[-1] >= 0 else set()
+        held |= set(range(right[-1])) if right[-1] >= 0 else set()
+        for n in {r.randint(1, 63) for _ in range(r.choice([0, 1, 5, 20]))}:
+            row.append(k)
+            node.append(n)
+            d = n.bit_length() - 1
+            held |= set(range((n << (c - d)) - 32, ((n + 1) << (c - d)) - 32))
+        want += [(k, i, next(j for j in range(i, 34) if j not in held)) for i in sorted(held) if i - 1 not in held]
+    got = intervals.cell_runs(np.array(left), np.array(right), np.array(row), np.array(node), c)
+    assert list(zip(*(x.tolist() for x in got))) == want
