@@ -39,6 +39,8 @@ AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ SᏚ TᎢ VᏙ WᎳ
 # Characters without a glyph beside those of the category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 
+#: Where characters with properties stand: the first three planes and the tags; what lies between are ideographs, private or nothing.
+CODE_POINTS = (*range(0x30000), *range(0xE0000, 0xE1000))
 # Styles of letters that change their shape.
 OTHER_SHAPE = ("ITALIC", "SCRIPT", "FRAKTUR", "DOUBLE-STRUCK")
 
@@ -75,8 +77,7 @@ def look_alikes() -> list[list[str]]:
         for c in group[1:]:
             u.union(group[0], c)
     composed = []
-    for n in range(sys.maxunicode + 1):
-        c = chr(n)
+    for c in map(chr, CODE_POINTS):
         kind = unicodedata.category(c)
         if kind in ("Cs", "Cn", "Co"):
             continue
@@ -196,7 +197,7 @@ class Rewriter:
 @lru_cache(maxsize=1)
 def _taken_apart() -> tuple[frozenset[str], frozenset[str]]:
     """Characters that spelling may put in order or together, and those that it takes apart."""
-    every = [chr(n) for n in range(sys.maxunicode + 1) if not 0xD800 <= n <= 0xDFFF]
+    every = [chr(n) for n in CODE_POINTS if not 0xD800 <= n <= 0xDFFF]
     ordered = frozenset(c for c in every if unicodedata.combining(c) or 0x1100 <= ord(c) <= 0x11FF)
     return ordered, frozenset(c for c in every if not 0xAC00 <= ord(c) <= 0xD7A3 and unicodedata.normalize("NFD", c) != c)
 
@@ -204,7 +205,7 @@ def _taken_apart() -> tuple[frozenset[str], frozenset[str]]:
 @lru_cache(maxsize=1)
 def _clusters() -> tuple[re.Pattern, frozenset[str]]:
     """A pattern of a character and the accents after it, and the members of more than one code point."""
-    members = frozenset(m for c in look_alikes() for m in c if len(m) > 1)
+    members = frozenset(m for c in speller().classes for m in c if len(m) > 1)
     after = "".join(sorted({c for m in members for c in m[1:]}))
     return re.compile(f"[^{re.escape(after)}][{re.escape(after)}]+"), members
 
@@ -213,7 +214,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Uses of each class member over the batches; of a letter with accents, of the letter with each number of them."""
     singles = np.zeros(sys.maxunicode + 1, np.int64)
     longer: Counter[str] = Counter()
-    known = {m for c in look_alikes() for m in c if len(m) == 1}
+    known = {m for c in speller().classes for m in c if len(m) == 1}
     pattern, members = _clusters()
     after = frozenset(c for m in members for c in m[1:])
     for b in batches:
