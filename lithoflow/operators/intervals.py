@@ -117,7 +117,7 @@ def runs_of_cells(src: DataFrame, c: int) -> tuple[DataFrame, DataFrame]:
     """Of the half-open intervals ``key, __s, __e``: the runs ``key, s, e`` within cells of level ``c``, and the distinct blocks ``key, k, i`` of whole cells.
 
     An interval over several cells leaves, in its first and last cell, what only the least start and the greatest end
-    of the cell tell of; these are taken before anything moves.  Cells and blocks under a longer block are left out.
+    of the cell tell of; these are taken before anything moves.
     """
     x = src.withColumns({"cs": F.shiftright("__s", c), "ce": F.shiftright(F.col("__e") - 1, c)})
     ends = x.filter("cs < ce").select("key", F.expr(f"""inline(array(
@@ -129,21 +129,24 @@ def runs_of_cells(src: DataFrame, c: int) -> tuple[DataFrame, DataFrame]:
     cells = edges.join(inner, ["key", "cell"], "full_outer")
     middle = dyadic_blocks(x.select("key", (F.col("cs") + 1).alias("lo"), F.col("ce").alias("hi")), ["key"], "lo", "hi")
     high = middle.select("key", (F.col("k") + c).alias("k"), "i")
-    under = covered(cells.select("key", F.col("cell").alias("i")), F.lit(c), 0, high).withColumnRenamed("i", "cell")
-    kept = cells.join(under, ["key", "cell"], "left_anti").select("key", "cell", "l", "r", "nodes")
     key = src.schema["key"].dataType.simpleString()
-    runs = kept.mapInArrow(partial(_run_batches, c), f"key {key}, s bigint, e bigint")
-    return runs, high.join(covered(high, F.col("k"), 1, high).select("key", "k", "i"), ["key", "k", "i"], "left_anti")
+    return cells.select("key", "cell", "l", "r", "nodes").mapInArrow(partial(_run_batches, c), f"key {key}, s bigint, e bigint"), high
 
 
-def _tier(items: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Of the runs ``key, s, e, inner`` in cells of ``level``: the pieces ``key, piece, s, e`` that are settled, and the open runs.
+def _tier(items: DataFrame, level: int, longer: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Of the runs and blocks ``key, s, e, inner`` in cells of ``level``: the pieces ``key, piece, s, e`` that are settled, and the open runs.
 
-    The first and the last run of a cell are open, the rest are periods, and the space between two is a gap.
+    What a block covers goes: cells under one of the blocks ``longer``, and within a cell what an earlier one reaches the end
+    of.  The first and the last run of a cell are open, the rest are periods, and the space between two is a gap.
     ``inner`` is whether the space before a run is settled already.
     """
-    w = Window.partitionBy("key", "cell").orderBy("s")
     x = items.withColumn("cell", F.expr(f"shiftright(s, {level})"))
+    if longer is not None:
+        under = covered(x.select("key", F.col("cell").alias("i")).distinct(), F.lit(level), 0, longer)
+        x = x.join(under.withColumnRenamed("i", "cell"), ["key", "cell"], "left_anti")
+    w = Window.partitionBy("key", "cell").orderBy("s")
+    before = Window.partitionBy("key", "cell").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("reach", F.max("e").over(before)).filter("reach is null or reach < e").drop("reach")
     joined = F.coalesce(F.lag("e").over(w) == F.col("s"), F.lit(False)) & ~F.col("inner")
     x = x.withColumn("run", F.sum((~joined).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = x.groupBy("key", "cell", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("inner", "s").alias("inner"))
@@ -177,7 +180,7 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, cell_l
     while True:
         up = min(level + TIER, TOP)
         blocks = high.filter((F.col("k") >= level) & (F.col("k") < up)).select("key", F.expr("shiftleft(i, k)").alias("s"), F.expr("shiftleft(i + 1, k)").alias("e"), F.lit(False).alias("inner"))
-        settled, items = _tier(items.unionByName(blocks), up)
+        settled, items = _tier(items.unionByName(blocks), up, high.filter(F.col("k") >= up) if up < TOP else None)
         out = settled if out is None else out.unionByName(settled)
         if up == TOP:
             break
